@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from discloom.llm import chat, decontaminate, line_dedup
+from discloom.llm import avi, chat, decontaminate, line_dedup, warc
 from discloom.llm.decontaminate import find_contamination
 from discloom.llm.minhash import near_duplicates
 from discloom.llm.mixing import mix
@@ -25,12 +25,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(_read(spark, sf_dir, "pages"))
+    return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
     return chat.digest(chat.format_chats(log.unionAll(probe)))
 
 
+def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_features(avi.encode_media(_read(spark, sf_dir, "documents"))).drop("clips")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -43,13 +52,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_avi_media": op6_avi_media,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
