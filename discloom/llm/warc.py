@@ -70,7 +70,7 @@ def _writer(folder: str):
             for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 if out is None:
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out, size, records = store.open_output_stream(f"{root}/{name}"), 0, 0
+                    out, size, records = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 data = make_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers_to)
                 out.write(data)
                 size, records = size + len(data), records + 1
@@ -117,7 +117,10 @@ class _Window:
     def upto(self, end: int) -> None:
         while self.base + len(self.data) < min(end, self.size):
             start = self.base + len(self.data)
-            self.data += self.file.read_at(min(_READ, self.size - start), start)
+            piece = self.file.read_at(min(_READ, self.size - start), start)
+            if not piece:
+                raise ValueError(f"file ends at byte {start}, before its {self.size} bytes")
+            self.data += piece
 
     def bytes_at(self, at: int, n: int) -> bytes:
         self.upto(at + n)
