@@ -22,9 +22,10 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from discloom.llm.common import bounded_batches
+from discloom.llm.common import bounded_batches, materialise
 
 WINDOW = 10
 #: Item text up to which one automaton is built (about 20 times as much memory in each Python worker).
@@ -115,20 +116,45 @@ def _scanner(key: str, items: list[tuple[str | None, list[bytes]]]):
     return scan
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """RESULT's columns for every row of docs; spans are character offsets into the original text."""
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _items(items: DataFrame, item_id: str, item_text: str, limit: int) -> list[tuple[str | None, list[bytes]]] | None:
+    """Ids and words of the items in order; None if their text takes more than `limit` bytes."""
     asked = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     if size > limit:
-        return windows_join(texts, asked)
+        return None
     pairs = [(r.item_id, normal_words(r.text)) for r in asked.collect()]
-    pairs = sorted(((i, w) for i, w in pairs if w), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    return sorted(((i, w) for i, w in pairs if w), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """RESULT's columns for every row of docs; spans are character offsets into the original text."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    pairs = _items(items, item_id, item_text, limit)
+    if pairs is None:
+        return windows_join(texts, items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null"))
     key = hashlib.sha256(repr(pairs).encode()).hexdigest()
     return texts.mapInArrow(_scanner(key, pairs), RESULT)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs without a hit, with their own columns; rows are judged in place, without a join, up to the automaton's size."""
+    bounded_batches(docs.sparkSession)
+    pairs = _items(items, "item_id", "text", limit)
+    if pairs is None:
+        numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        bad = find_contamination(numbered, items, "__row", text_col, limit=limit).where("contaminated").select(F.col("doc_id").alias("__row"))
+        return numbered.join(bad, "__row", "left_anti").drop("__row")
+    scan, at = _scanner(hashlib.sha256(repr(pairs).encode()).hexdigest(), pairs), docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (found,) = scan(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])]))
+            yield batch.filter(pc.invert(found.column("contaminated")))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def _windows(width: int, whole: bool):
     """(id, start, width, hash) of each window of each row; whole: rows of fewer words give one window of all."""
 
@@ -169,8 +195,6 @@ def windows_join(texts: DataFrame, items: DataFrame) -> DataFrame:
 
     Each width of item windows (ten and the few shorter ones) is cut from the documents and joined by hash.
     """
-    from discloom.llm.common import materialise
-
     rows = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     named = materialise(items.withColumn("item", F.monotonically_increasing_id()), "items")
     shape = "row long, start int, size int, hash binary"

@@ -1,5 +1,5 @@
 """Language ID by compression: each text is encoded with a zstandard raw-content dictionary of every language, and the
-language of the smallest encoding wins; a narrow margin is rejected.
+language of the smallest encoding wins; a narrow margin is rejected. Texts are lower-cased first.
 
 Dictionaries are raw text of a bounded, documented sample: up to SAMPLE_DOCS training rows of each language, chosen by a
 hash of doc_id, DICT_BYTES in all, taken in turn from the rows. Rows whose own encoding prefers another
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 from discloom.llm.classify import remainder
 from discloom.llm.common import bounded_batches
 
-SAMPLE_DOCS = 60
+SAMPLE_DOCS = 240
 SAMPLE_CHARS = 4000
-DICT_BYTES = 48 << 10
+DICT_BYTES = 128 << 10
 BLOCK = 8 << 10
-LEVEL = 1
+#: Level 6 with matches of three bytes and more: short matches tell languages apart, faster levels miss them.
+LEVEL, MIN_MATCH = 6, 3
 #: Share of the second-best size by which the best must be smaller, or the text is rejected.
 MARGIN = 0.02
 HELD_OUT = (5, 0)
@@ -43,8 +44,9 @@ def _compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zs
         made = []
         for lang, content in sorted(dictionaries.items()):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            made.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(content), min_match=MIN_MATCH, write_content_size=False)
+            d.precompute_compress(compression_params=how)
+            made.append((lang, zstandard.ZstdCompressor(compression_params=how, dict_data=d)))
         _made[key] = made
     return _made[key]
 
@@ -53,7 +55,7 @@ def classify(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompre
     """(language, score, rejected)."""
     if not text or not compressors or not _LETTER.search(text):
         return "und", 0.0, True
-    data = text.encode("utf-8", "replace")
+    data = text.lower().encode("utf-8", "replace")
     blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
     if len(sizes) == 1:
@@ -78,7 +80,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     limit = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
     picked = thin.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
     found = picked.groupBy("lang").agg(F.slice(best, 1, SAMPLE_DOCS).alias("rows")).collect()
-    texts = {r.lang: [x.text.encode("utf-8", "replace") for x in r.rows] for r in found}
+    texts = {r.lang: [x.text.lower().encode("utf-8", "replace") for x in r.rows] for r in found}
     made = {lang: _dictionary(own) for lang, own in texts.items()}
     if len(made) > 1:
         judges = _compressors(made)

@@ -3,7 +3,7 @@ document, with a softmax output trained by numpy stochastic gradient descent.
 
 Case is kept. A whole text's pieces are averaged (see subword.py).
 
-Edge cases: null and blank texts score by the model's bias; without labels of both classes every text scores the
+Edge cases: null and blank texts score as the median text of label 0; without labels of both classes every text scores the
 same. Ties and repeated rows score alike. Empty tables give empty results. Labels are read from rows whose
 crc32(doc_id) mod 4 is not 2 alone; lang, source and doc_id are no inputs.
 """

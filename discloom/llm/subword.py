@@ -10,7 +10,6 @@ logit), and scoring a window is a mean of table look-ups: the whole corpus is sc
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +28,15 @@ PIECE = 1 << 19
 
 @dataclass
 class Model:
-    """shares: logit share of each bucket; a window's logit is gain * (mean share) + bias; fold: A-Z lower-cased?"""
+    """shares: logit share of each bucket; a window's logit is gain * (mean share) + bias; blank: that of a text without words; fold: A-Z lower-cased?"""
 
     shares: np.ndarray
     gain: float
     bias: float
+    blank: float
     fold: bool
     pooling: str
 
-    def key(self) -> str:
-        return f"{zlib.crc32(self.shares.tobytes())}-{self.gain}-{self.bias}"
-
 
 _FOLDS = {fold: bytes(32 if SEPARATOR[b] else int(LOWER[b]) if fold else b for b in range(256)) for fold in (False, True)}
 _SHIFT = U(64 - BUCKETS.bit_length() + 1)
@@ -141,7 +138,7 @@ def window_sums(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def logits(model: Model, texts: list[bytes]) -> np.ndarray:
-    """One logit for each text: of the mean over all pieces, or of its highest window; `bias` for one without words.
+    """One logit for each text: of the mean over all pieces, or of its highest window; `blank` for one without words.
 
     Texts longer than PIECE are cut at blanks; windows begin anew at each cut.
     """
@@ -171,7 +168,7 @@ def logits(model: Model, texts: list[bytes]) -> np.ndarray:
             if model.pooling == "max":
                 np.maximum.at(best, row, np.maximum.reduceat(s / (c + SHRINK), firsts[live]))
         k = e
-    out = np.full(rows, model.bias, float)
+    out = np.full(rows, model.blank, float)
     full = counts > 0
     value = best if model.pooling == "max" else sums / np.maximum(counts, 1)
     out[full] = model.gain * value[full] + model.bias
@@ -220,7 +217,7 @@ class _Bags:
 
 def _sgd(bags: _Bags, which: np.ndarray, label: np.ndarray, weight: np.ndarray, dims: int, epochs: int, rate: float, rng: np.random.Generator, batch: int = 128) -> np.ndarray:
     """Joint stochastic descent on vectors and softmax, with steps scaled by past gradients; returns the buckets' shares."""
-    vectors = rng.uniform(-0.1, 0.1, (dims, BUCKETS)).astype(np.float32)
+    vectors = rng.uniform(-0.01, 0.01, (dims, BUCKETS)).astype(np.float32)
     soft = np.zeros((2, dims), np.float32)
     soft[1] = np.where(np.arange(dims) % 2, 1, -1)
     soft[0] = -soft[1]
@@ -260,7 +257,8 @@ def train(texts: list[bytes], labels: np.ndarray, fold: bool, pooling: str, dims
     """
     labels = np.asarray(labels).astype(int)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 1.0, -4.0 if not labels.any() else 4.0, fold, pooling)
+        only = 4.0 if labels.any() else -4.0
+        return Model(np.zeros(BUCKETS), 1.0, only, only, fold, pooling)
     rng = np.random.default_rng(seed)
     bags = _Bags(texts, fold, WINDOW if pooling == "max" else 1 << 40, pooling == "max")
     full = np.flatnonzero(np.diff(bags.firsts) > 0)
@@ -303,4 +301,5 @@ def train(texts: list[bytes], labels: np.ndarray, fold: bool, pooling: str, dims
     cut = (x[order[k]] + below) / 2
     high, low = np.median(x[y == 1]) if (y == 1).any() else cut + 1, np.median(x[y == 0]) if (y == 0).any() else cut - 1
     gain = 6 / max(high - low, 1e-6)
-    return Model(shares, gain, float(np.log(target / (1 - target)) - gain * cut), fold, pooling)
+    bias = float(np.log(target / (1 - target)) - gain * cut)
+    return Model(shares, gain, bias, gain * low + bias, fold, pooling)

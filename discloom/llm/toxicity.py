@@ -5,7 +5,7 @@ the softmax, and the highest logit counts, so a few words in a long text are see
 share n-gram vectors. Labels mark texts, not windows: after a first fit on all windows, a second takes a toxic
 text's windows that look toxic, at least its best one.
 
-Edge cases: null and blank texts score low, by the model's bias; without labels of both classes every text scores the
+Edge cases: null and blank texts score as the median text of label 0; without labels of both classes every text scores the
 same, near 0 unless all labels are 1. Ties and repeated rows score alike. Empty tables give empty results.
 Labels are read from rows whose crc32(doc_id) mod 3 is not 1 alone; lang, source and doc_id are no inputs.
 """
