@@ -10,10 +10,14 @@ lower than with independent hashes. Ranks are dealt here level by level: once ev
 value of an earlier level, later levels cannot lower it and the document stops.
 
 Plan: one Python pass makes sketches; equal sets fold into their smallest doc_id (groupBy, partial first); band
-keys of the representatives are grouped; in each bucket members are checked against leaders, first one, then
-16, 64, 256 and so on, only while the bucket still spans several components and only across components. A group
-of copies therefore costs one check for each member, no bucket is ever gathered in a task, and every pair of a
-bucket whose members stay apart is checked in the end: no cap on candidates. Hot leaders are ordinary skewed joins.
+keys of the representatives are grouped. In each bucket members are checked against a leader, the one that shares most
+buckets with others, and in a second round those apart from it against a leader of their own: a group of copies costs
+one check for each member, and no bucket is ever gathered in a task. Pairs that still stand in different components of
+a bucket are settled without listing them all. Call a shingle common if more than COMMON of these documents have it; let
+c be the number of a document's common shingles, n of all. Two documents share at most min(c, c') common ones, so
+they can reach the similarity only if they share a rare shingle, found by a join whose rows are at most COMMON
+for each shingle of a document, or if min(c, c') alone suffices, a condition on sizes that copies of one text with
+too many edits of their own don't meet. Both kinds are checked on full sets: no cap on candidates, none lost.
 
 A pair at similarity 0.75 shares none of the 32 bands of four rows with probability 5e-6.
 
@@ -30,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from discloom.llm.common import bounded_batches, byte_view, materialise, slices
 from discloom.llm.words import U, mix, shingle_sets
@@ -39,6 +43,9 @@ PLACES, ROWS = 128, 4
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text sketched at once.
 CHUNK = 1 << 20
+#: Rounds of leaders before the remaining pairs are settled by their rare shingles.
+LEADER_ROUNDS = 2
+COMMON = 20
 #: Up to so many candidate ids (16 bytes each) may be broadcast; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -167,6 +174,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _mixed(buckets: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """The members of buckets that span several components, with their component."""
+    if grouped is None:
+        return buckets.withColumn("component", F.col("id"))
+    now = buckets.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return now.join(mixed, "key")
+
+
+def _alike(percent: int) -> Column:
+    """Sizes n and m that the similarity allows."""
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+
+def _leader_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each bucket's members against its leader, outside the largest component if there is one.
+
+    The leader shares most buckets with others among those that may lead: in a later round, members that are
+    alone in their component so far, if a bucket has any.
+    """
+    single = apart.join(apart.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("size")), "component")
+    degree = single.groupBy("id").agg(F.sum("c").alias("degree"))
+    rank = F.struct((F.col("size") == 1).alias("single"), "degree", (-F.col("id")).alias("minus"), "n", "component")
+    lead = single.join(degree, "id").groupBy("key").agg(F.max(rank).alias("lead"))
+    lead = lead.select("key", (-F.col("lead.minus")).alias("other"), F.col("lead.n").alias("m"), F.col("lead.component").alias("of"))
+    met = apart.join(lead, "key").where(_alike(percent) & (F.col("component") != F.col("of")))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of different components and a common bucket that could reach the similarity.
+
+    Sharing o rare shingles, a pair shares at most min(c, c') + o, of which similarity asks percent / (100 + percent) * (n + n').
+    """
+    own = apart.select("id", "n", "component").distinct()
+    full = sets.join(own.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    full = materialise(full, "shingles")
+    spread = full.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    known = materialise(full.join(spread, "s"), "frequent")
+    common = known.where(F.col("df") > COMMON).groupBy("id").agg(F.count("*").alias("c"))
+    own = materialise(own.join(common, "id", "left").withColumn("c", F.coalesce("c", F.lit(0))), "own")
+    rare = known.where(F.col("df") <= COMMON).select("id", "s").join(own, "id")
+    there = rare.select("s", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("of"))
+    enough = lambda o: (100 + percent) * (F.least("c", "d") + o) >= percent * (F.col("n") + F.col("m"))
+    met = rare.join(there, "s").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & _alike(percent))
+    met = met.groupBy("id", "other", "n", "m", "c", "d").agg(F.count("*").alias("o")).where(enough(F.col("o")))
+    placed = apart.select("key", "id").join(own, "id").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    beside = placed.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("of"))
+    near = placed.join(beside, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & _alike(percent) & enough(F.lit(0)))
+    return met.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(near.select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row for each row of docs."""
     spark = docs.sparkSession
@@ -178,29 +237,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = seen.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     placed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = placed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = materialise(placed.join(shared, "key"), "buckets")
     members = materialise(buckets.select("id").distinct(), "members")
     wanted = members.withColumnRenamed("id", "doc_id")
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted
     sets = materialise(texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, shingles array<long>"), "sets")
     links: list[DataFrame] = []
-    grouped, done, leaders = None, 0, 1
-    while True:
-        now = buckets if grouped is None else buckets.join(grouped, "id", "left")
-        now = now.withColumn("component", F.col("id") if grouped is None else F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where((F.col("lo") < F.col("hi")) & (F.col("c") > done)).select("key")
-        apart = materialise(now.join(mixed, "key"), f"apart{done}")
+    grouped = None
+    for step in range(LEADER_ROUNDS + 1):
+        apart = materialise(_mixed(buckets, grouped), f"apart{step}")
         if apart.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id", "n"))
-        lead = apart.withColumn("rank", rank).where(F.col("rank") <= leaders).where(F.col("rank") > done)
-        lead = lead.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("of"))
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("of"))
-        pairs = apart.join(lead, "key").where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        links.append(materialise(_verified(pairs, sets, percent), f"links{done}"))
-        grouped = materialise(components(reduce(DataFrame.unionAll, links)), f"grouped{done}")
-        done, leaders = leaders, max(16, leaders * 4)
+        pairs = _leader_pairs(apart, percent) if step < LEADER_ROUNDS else _rare_pairs(apart, sets, percent)
+        links.append(materialise(_verified(pairs, sets, percent), f"links{step}"))
+        grouped = materialise(components(reduce(DataFrame.unionAll, links)), f"grouped{step}")
+        buckets = apart.drop("component")
     owner = sketch.join(copies, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
     if grouped is not None:
         owner = owner.join(grouped, "id", "left")
@@ -209,3 +261,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = F.col("id")
     component = F.when(F.col("doc_id").isNotNull(), component)
     return owner.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with their own columns; of rows that share a doc_id one stays.
+
+    Rows without doc_id or without words stay: they are linked with nothing.
+    """
+    found = materialise(near_duplicates(docs, percent=percent).select("doc_id", "kept").where("doc_id is not null"), "kept")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
