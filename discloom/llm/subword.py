@@ -22,6 +22,8 @@ GRAMS = (3, 4, 5)
 WINDOW = 24
 #: Pieces added to a window's count when windows compete, so that few pieces can't win by chance.
 SHRINK = 40
+#: Batches that a fit takes at least: a small sample is gone through more often.
+LEAST_STEPS = 800
 #: Bytes of text handled at once.
 PIECE = 1 << 19
 
@@ -222,7 +224,7 @@ def _sgd(bags: _Bags, which: np.ndarray, label: np.ndarray, weight: np.ndarray,
     soft[1] = np.where(np.arange(dims) % 2, 1, -1)
     soft[0] = -soft[1]
     seen, seen_soft = np.full(BUCKETS, 1e-8, np.float32), np.full((2, dims), 1e-8, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(which))))):
         order = rng.permutation(len(which))
         for k in range(0, len(order), batch):
             turn = order[k : k + batch]

@@ -36,7 +36,7 @@ def test_toxicity_and_quality_generalise(spark):
         got = query(docs, known).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
         held = [r for r in got if r.held_out and r.doc_id in want]
-        assert np.mean([r.predicted == want[r.doc_id][k] for r in held]) > 0.95
+        assert np.mean([r.predicted == want[r.doc_id][k] for r in held]) > (0.97, 0.9)[k]
     by = {r.doc_id: r.predicted for r in got}
     assert (by[9000], by[9001], by[9002], by[9003]) == (0, 0, 1, 1)
     assert {r.doc_id for r in drop_toxic(docs, known).collect()} == {d for d, p in by.items() if not p}
