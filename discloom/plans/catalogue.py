@@ -1,4 +1,4 @@
 """All queries: importing the modules registers them."""
 
-from discloom.plans import numbers  # noqa: F401
+from discloom.plans import numbers, relations  # noqa: F401
 from discloom.plans.registry import ORACLES, QUERIES  # noqa: F401
