@@ -11,7 +11,7 @@ value of an earlier level, later levels cannot lower it and the document stops.
 
 Plan: one Python pass makes sketches; equal sets fold into their smallest doc_id (groupBy, partial first); band
 keys of the representatives are grouped. In each bucket members are checked against a leader, the one that shares most
-buckets with others, and in a second round those apart from it against a leader of their own: a group of copies costs
+buckets with others, and in further rounds those apart from it against leaders of their own: a group of copies costs
 one check for each member, and no bucket is ever gathered in a task. Pairs that still stand in different components of
 a bucket are settled without listing them all. Call a shingle common if more than COMMON of these documents have it; let
 c be the number of a document's common shingles, n of all. Two documents share at most min(c, c') common ones, so
@@ -44,7 +44,7 @@ _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text sketched at once.
 CHUNK = 1 << 20
 #: Rounds of leaders before the remaining pairs are settled by their rare shingles.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 COMMON = 20
 #: Up to so many candidate ids (16 bytes each) may be broadcast; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -175,10 +175,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, grouped: DataFrame | None) -> DataFrame:
-    """The members of buckets that span several components, with their component."""
+    """The members of buckets that span several components, with their component and whether it is theirs alone."""
     if grouped is None:
-        return buckets.withColumn("component", F.col("id"))
-    now = buckets.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return buckets.withColumns({"component": F.col("id"), "alone": F.lit(True)})
+    now = buckets.join(grouped, "id", "left").withColumns({"component": F.coalesce("component", "id"), "alone": F.col("component").isNull()})
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return now.join(mixed, "key")
 
@@ -194,10 +194,9 @@ def _leader_pairs(apart: DataFrame, percent: int) -> DataFrame:
     The leader shares most buckets with others among those that may lead: in a later round, members that are
     alone in their component so far, if a bucket has any.
     """
-    single = apart.join(apart.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("size")), "component")
-    degree = single.groupBy("id").agg(F.sum("c").alias("degree"))
-    rank = F.struct((F.col("size") == 1).alias("single"), "degree", (-F.col("id")).alias("minus"), "n", "component")
-    lead = single.join(degree, "id").groupBy("key").agg(F.max(rank).alias("lead"))
+    degree = apart.groupBy("id").agg(F.sum("c").alias("degree"))
+    rank = F.struct("alone", "degree", (-F.col("id")).alias("minus"), "n", "component")
+    lead = apart.join(degree, "id").groupBy("key").agg(F.max(rank).alias("lead"))
     lead = lead.select("key", (-F.col("lead.minus")).alias("other"), F.col("lead.n").alias("m"), F.col("lead.component").alias("of"))
     met = apart.join(lead, "key").where(_alike(percent) & (F.col("component") != F.col("of")))
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
@@ -221,8 +220,12 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = rare.join(there, "s").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & _alike(percent))
     met = met.groupBy("id", "other", "n", "m", "c", "d").agg(F.count("*").alias("o")).where(enough(F.col("o")))
     placed = apart.select("key", "id").join(own, "id").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
-    beside = placed.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("of"))
-    near = placed.join(beside, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & _alike(percent) & enough(F.lit(0)))
+    # a pair that shares several buckets is met in the smallest of them alone
+    keys = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    placed = placed.join(keys, "id")
+    beside = placed.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("of"), F.col("keys").alias("others"))
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "others"))
+    near = placed.join(beside, "key").where((F.col("id") < F.col("other")) & (F.col("component") != F.col("of")) & _alike(percent) & enough(F.lit(0)) & once)
     return met.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(near.select(F.col("id").alias("a"), F.col("other").alias("b"))).distinct()
 
 
@@ -252,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _leader_pairs(apart, percent) if step < LEADER_ROUNDS else _rare_pairs(apart, sets, percent)
         links.append(materialise(_verified(pairs, sets, percent), f"links{step}"))
         grouped = materialise(components(reduce(DataFrame.unionAll, links)), f"grouped{step}")
-        buckets = apart.drop("component")
+        buckets = apart.drop("component", "alone")
     owner = sketch.join(copies, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
     if grouped is not None:
         owner = owner.join(grouped, "id", "left")
