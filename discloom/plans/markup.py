@@ -33,12 +33,12 @@ def html_paragraphs(t: Tables) -> DataFrame:
 def _rendered(t: Tables) -> DataFrame:
     """Orders as filings: a table of lines with a two-row header, one row a line."""
     cells = F.concat_ws("", F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), F.col("l_returnflag"), F.lit("</td></tr>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("c")))), lambda x: x["c"]), "")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", cells.alias("c")))), lambda x: x["c"]), "")
     head = "<table><thead><tr><th rowspan=\"2\">line</th><th colspan=\"2\">item</th></tr><tr><th>part</th><th>flag</th></tr></thead><tbody>"
     return t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html"))
 
 
-@query("html_table_grid", "select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n, 'line|item > part|item > flag' as headers, l_linenumber || '|' || l_partkey || '|' || l_returnflag as record from lineitem")
+@query("html_table_grid", "select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as n, 'line|item > part|item > flag' as headers, l_linenumber || '|' || l_partkey || '|' || l_returnflag as record from lineitem")
 def html_table_grid(t: Tables) -> DataFrame:
     """Tables written from lineitem and parsed back: every record must return."""
     tables = D.table_rows(_rendered(t), "l_orderkey", "html")
