@@ -21,8 +21,10 @@ def distinct_events(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def windowed_counts(events: DataFrame, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    counted = events.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed_counts(events: DataFrame, width: str = "1 day", lateness: str | None = "1 day") -> DataFrame:
+    """Counts and totals by window and type; lateness None where events have a watermark already."""
+    marked = events.withWatermark("ts", lateness) if lateness else events
+    counted = marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
