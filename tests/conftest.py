@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from discloom.session import build_session
 
-    session = build_session("local[4]", 4)
+    session = build_session("local[4]", 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
