@@ -278,3 +278,28 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+#: Exact links by shared shingles, and the smallest doc_id that each document reaches.
+ORACLE = r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as k from docs where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by 1
+), hashed as (
+  select doc_id, hash(s) as h from shingles
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as met from hashed a join hashed b on a.h = b.h and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * met >= 75 * (x.n + y.n - met)
+), edges as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as a, doc_id as b from docs union select r.a, e.b from reach r join edges e on r.b = e.a
+)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+from docs d left join sizes s using (doc_id) join (select a, min(b) as c from reach group by 1) m on d.doc_id = m.a
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from discloom.llm import avi, chat, decontaminate, line_dedup, warc
+from discloom.llm import avi, chat, decontaminate, line_dedup, minhash, warc
 from discloom.llm.decontaminate import find_contamination
 from discloom.llm.lang_id import identify_languages
 from discloom.llm.minhash import near_duplicates
@@ -81,5 +81,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
+    "op7_minhash_near_dedup": minhash.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
