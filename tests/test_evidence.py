@@ -62,3 +62,18 @@ def test_projections(spark):
     tree = spark.createDataFrame([(1, 0, -1, "ROOT"), (1, 1, 0, "HEADING"), (2, 0, -1, "ROOT")], "d int, s int, p int, b string")
     assert sorted(map(tuple, PR.kept_sections(tree, "d", "s", "p", "b").collect())) == [(1, 1, -1, "HEADING"), (2, 0, -1, "ROOT")]
     assert one(PR.citation(F.lit("가"), F.lit("나"), F.lit("2024-03-05").cast("date"), F.array(F.lit("a"), F.lit("b")))) == "가, 나 (2024-03-05), a > b"
+
+
+def test_context_is_checked_against_metadata(spark):
+    rows = spark.createDataFrame([("company: 가\nreport: 나\n\nbody", "가")], "t string, c string")
+    assert rows.select(PR.checked_context(F.col("t"), {"company": F.col("c")}).alias("x")).first().x.company == "가"
+    with pytest.raises(Exception, match="company differs"):
+        rows.select(PR.checked_context(F.col("t"), {"company": F.lit("다")})).collect()
+
+
+def test_only_changed_documents_are_rebuilt(spark):
+    from discloom.sources.readers import reusable
+
+    before = spark.createDataFrame([(1, "h1", "v1"), (2, "h2", "v1"), (3, "h3", "v0")], "k int, h string, v string")
+    now = spark.createDataFrame([(1, "h1", "v1"), (2, "hx", "v1"), (3, "h3", "v1"), (4, "h4", "v1")], "k int, h string, v string")
+    assert sorted(r.k for r in reusable(before, now, ["k"], "h", "v").collect()) == [2, 3, 4]
