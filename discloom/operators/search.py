@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rank fusion's constant (Cormack et al., 2009); the lists fused are OVERFETCH times as long as the result.
 RRF_C, OVERFETCH = 60, 5
+#: Facts are tested in blocks of FACT_BLOCK; blocks of up to FACT_BYTES of fact text in all are broadcast, beyond it they are dealt in a Cartesian product.
+FACT_BLOCK, FACT_BYTES = 500, 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,3 +65,22 @@ def fuse(lists: list[DataFrame], k: int, id_col: str, c: int = RRF_C, threshold:
         fused = fused.where(F.col("score") >= threshold)
     top = fused.orderBy(F.desc("score"), id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))  # k rows
+
+
+def fact_coverage(docs: DataFrame, facts: DataFrame, doc_id: str, fact_id: str, text: str = "text") -> DataFrame:
+    """(doc, fact, addressed) of every pair: does one sentence of the document hold all tokens of the fact?
+
+    A token may stand inside a longer word. Long tokens are asked first and the whole text before its sentences, so most
+    pairs end at one search; a block of facts is tested in one expression, and no row with a text is made for each pair.
+    """
+    tokens = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= 2))
+    longest = F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a))
+    n, size = facts.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    block = F.pmod(F.hash(fact_id), F.lit(max(1, -(-n // FACT_BLOCK))))
+    blocks = facts.select(block.alias("block"), F.struct(F.col(fact_id).alias("id"), longest.alias("tokens")).alias("f")).groupBy("block").agg(F.collect_list("f").alias("asked")).select("asked")
+    low = F.lower(text)
+    rows = docs.select(doc_id, low.alias("t"), F.split(low, "[.!?]", -1).alias("s")).crossJoin(F.broadcast(blocks) if size <= FACT_BYTES else blocks)
+    within = lambda x, f: F.forall(f["tokens"], lambda w: F.contains(x, w))
+    met = lambda f: (F.size(f["tokens"]) > 0) & within(F.col("t"), f) & F.exists("s", lambda s: within(s, f))
+    found = F.transform("asked", lambda f: F.struct(f["id"].alias(fact_id), met(f).alias("addressed")))
+    return rows.select(doc_id, F.explode(found).alias("f")).select(doc_id, f"f.{fact_id}", "f.addressed")

@@ -152,13 +152,8 @@ def duplicate_documents(t: Tables) -> DataFrame:
 @query("requested_fact_coverage", """with f as (select item_id, list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 2))), 1, 3) as tokens from benchmark where item_id < 5), s as (select doc_id, unnest(regexp_split_to_array(lower(text), '[.!?]')) as s from documents where doc_id % 20 = 0)
  select doc_id, item_id, bool_or(len(list_filter(tokens, lambda x: contains(s, x))) = len(tokens)) as addressed from s, f group by all""")
 def requested_fact_coverage(t: Tables) -> DataFrame:
-    """Is there a sentence with all the tokens of a fact? A stated, small set of facts against documents."""
-    tokens = F.slice(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 2))), 1, 3)
-    facts = [(r.item_id, list(r.t)) for r in t.benchmark.where("item_id < 5").select("item_id", tokens.alias("t")).collect()]
-    asked = F.array(*[F.struct(F.lit(i).alias("item_id"), F.array(*map(F.lit, words)).alias("tokens")) for i, words in sorted(facts)])
-    sentences = F.split(F.lower("text"), "[.!?]", -1)
-    rows = t.documents.where("doc_id % 20 = 0").select("doc_id", sentences.alias("s"), F.explode(asked).alias("f"))
-    return rows.select("doc_id", "f.item_id", F.exists("s", lambda s: F.forall(F.col("f.tokens"), lambda x: F.contains(s, x))).alias("addressed"))
+    """Is there a sentence with all the tokens of a fact? Every benchmark item against every document."""
+    return search.fact_coverage(t.documents, t.benchmark, "doc_id", "item_id")
 
 
 @query("semantic_segments", """with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents), c as (select *, trim(regexp_replace(line, '\\s+', ' ', 'g')) as t from l)
