@@ -73,20 +73,36 @@ def longest_prefix(names: DataFrame, name: str, categories: DataFrame, prefix: s
 def resolve_corrections(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     """The document that each correction corrects: a cascade in which uniqueness decides.
 
-    sources: src, receipt, original_date, doc_group, company, name, family. candidates: the same without original_date, with
-    submitted. Stages: date and prior receipt, group (a missing side agrees), company (skipped without one), exact name,
-    family, sole candidate. Equal dates carry the join; later stages are counted per source in one aggregation.
+    sources: src (a key), receipt, original_date, doc_group, company, name, family. candidates: the same without
+    original_date, with submitted. Stages: date and prior receipt, group (a missing side agrees), company (skipped without
+    one), exact name, family, sole candidate. No source meets the candidates of its day: each bucket of (date, group, company,
+    name or family), with * for what a stage doesn't ask, keeps its three smallest receipts of either kind (numbered or not),
+    enough to tell none, one and more prior receipts apart, and a source looks up at most nine buckets.
     """
-    c = candidates.select(*[F.col(x).alias(f"c_{x}") for x in ("receipt", "submitted", "doc_group", "company", "name", "family")])
     numbered = lambda x: F.col(x).rlike(r"^\d{14}$")
-    prior = ~(numbered("receipt") & numbered("c_receipt")) | (F.col("c_receipt") < F.col("receipt"))
-    met = sources.join(c, (F.col("original_date") == F.col("c_submitted")) & (F.col("receipt") != F.col("c_receipt")) & prior, "left")
-    dated = F.col("c_receipt").isNotNull()
-    group = dated & (F.coalesce(F.col("doc_group") == F.col("c_doc_group"), F.lit(True)))
-    company = group & F.coalesce(F.col("company") == F.col("c_company"), F.col("company").isNull())
-    exact, family = company & (F.col("name") == F.col("c_name")), company & (F.col("family") == F.col("c_family"))
-    stages = {"dated": dated, "grouped": group, "own": company, "exact": exact, "kin": family}
-    found = met.groupBy("src", "original_date").agg(*[F.count_if(v).alias(k) for k, v in stages.items()], *[F.min(F.when(v, F.col("c_receipt"))).alias(f"{k}_receipt") for k, v in stages.items() if k in ("own", "exact", "kin")])
+    is_ = lambda x: F.concat(F.lit("="), F.col(x).cast("string"))
+    some, none = F.lit("*"), F.lit("-")
+    axes = {"g": F.array(some, F.coalesce(is_("doc_group"), none)), "k": F.array(some, is_("company")), "n": F.array(some, F.concat(F.lit("n"), is_("name")), F.concat(F.lit("f"), is_("family")))}
+    at = candidates.where("receipt is not null and submitted is not null").select(F.col("submitted").alias("d"), "receipt", numbered("receipt").alias("kind"), *[v.alias(k) for k, v in axes.items()])
+    for axis in axes:
+        at = at.withColumn(axis, F.explode(axis)).where(F.col(axis).isNotNull())
+    bucket = ["d", "g", "k", "n"]
+    first = at.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*bucket, "kind").orderBy("receipt"))).where(F.col("_rank") <= 3)
+    kept = first.groupBy(*bucket, "kind", "receipt").agg(F.count("*").alias("n_rows")).groupBy(*bucket).agg(F.collect_list(F.struct("kind", "receipt", "n_rows")).alias("kept"))
+
+    groups = F.when(F.col("doc_group").isNull(), F.array(some)).otherwise(F.array(is_("doc_group"), none))
+    company = F.coalesce(is_("company"), some)
+    ask = lambda stage, g, k, n: F.struct(F.lit(stage).alias("stage"), g.alias("g"), k.alias("k"), n.alias("n"))
+    each = lambda stage, k, n: F.transform(groups, lambda g: ask(stage, g, k, n))
+    stages = {"grouped": (some, some), "own": (company, some), "exact": (company, F.concat(F.lit("n"), is_("name"))), "kin": (company, F.concat(F.lit("f"), is_("family")))}
+    asked = F.concat(F.array(ask("dated", some, some, some)), *[each(s, k, n) for s, (k, n) in stages.items()])
+    looked = sources.select("src", "receipt", "original_date", F.explode(asked).alias("a")).select("src", "receipt", "original_date", "a.*").join(kept.withColumnRenamed("d", "original_date"), ["original_date", "g", "k", "n"], "left")
+    prior = lambda x: (x["receipt"] != F.col("receipt")) & (~(numbered("receipt") & x["kind"]) | (x["receipt"] < F.col("receipt")))
+    met = looked.select("src", "original_date", "stage", F.filter("kept", prior).alias("m"))
+    count = F.coalesce(F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x["n_rows"]), F.lit(0))
+    least = F.array_min(F.transform("m", lambda x: x["receipt"]))
+    of = lambda stage, v: F.when(F.col("stage") == stage, v)
+    found = met.groupBy("src", "original_date").agg(*[F.coalesce(F.sum(of(k, count)), F.lit(0)).alias(k) for k in ("dated", *stages)], *[F.min(of(k, least)).alias(f"{k}_receipt") for k in ("own", "exact", "kin")])
     code = (
         F.when(F.col("original_date").isNull(), "NOT_RESOLVED").when(F.col("dated") == 0, "DATE_NOT_FOUND").when(F.col("grouped") == 0, "GROUP_MISMATCH").when(F.col("own") == 0, "COMPANY_MISMATCH")
         .when(F.col("exact") == 1, "EXACT").when(F.col("exact") > 1, "AMBIGUOUS").when(F.col("kin") == 1, "DOCUMENT_FAMILY_RECOVERED").when(F.col("kin") > 1, "AMBIGUOUS")

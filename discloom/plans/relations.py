@@ -122,7 +122,7 @@ def latest_version(t: Tables) -> DataFrame:
 def correction_target_resolution(t: Tables) -> DataFrame:
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     base = {"receipt": F.lpad(key.cast("string"), 14, "0"), "name": F.concat("o_orderstatus", (key % 5).cast("string")), "family": F.col("o_orderstatus")}
-    sources = t.orders.where(key % 10 == 1).select(
+    sources = t.orders.select(
         key.alias("src"), *[v.alias(k) for k, v in base.items()], F.date_format(F.date_add(day, (key % 3).cast("int")), "yyyy-MM-dd").alias("original_date"),
         F.when(key % 7 != 0, F.col("o_orderpriority")).alias("doc_group"), F.when(key % 4 != 0, F.col("o_custkey") % 40).alias("company"),
     )

@@ -1,18 +1,28 @@
 """Queries do the whole of their tables: no ids are left out, no keys are cut."""
 
 import os
+import random
 import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from discloom.operators import search
+from discloom.operators import relational as R, search
 
 SMALL = entry.SMOKE_DIR
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the tables")
 
 
+def _uncut(name, cut):
+    """Rows of the query's SQL, its filter taken out here."""
+    sql = entry.oracle_sql()[name].replace(cut, "")
+    db = duckdb.connect()
+    for table in os.listdir(SMALL):
+        db.execute(f"create view {table.removesuffix('.parquet')} as select * from '{SMALL}/{table}'")
+    return sorted(db.execute(sql).fetchall())
+
+
 def _addressed(fact, text):
     tokens = {x for x in re.split("[^a-z]+", fact.lower()) if len(x) >= 2}
     return bool(tokens) and any(all(x in s for x in tokens) for s in re.split("[.!?]", text.lower()))
@@ -36,3 +46,40 @@ def test_fact_coverage_on_the_tables(spark):
     want = {(int(d), int(i), _addressed(fact, text)) for d, text in zip(docs["doc_id"], docs["text"]) for i, fact in zip(facts["item_id"], facts["text"])}
     got = entry.queries()["requested_fact_coverage"](spark, SMALL).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def _resolved(source, candidates):
+    """The cascade in plain Python, over all candidates."""
+    src, receipt, day, group, company, name, family = source
+    if day is None:
+        return src, "NOT_RESOLVED", None
+    number = lambda x: re.fullmatch(r"\d{14}", x) is not None
+    met = [c for c in candidates if c[1] == day and c[0] != receipt and (not (number(receipt) and number(c[0])) or c[0] < receipt)]
+    grouped = [c for c in met if None in (group, c[2]) or group == c[2]]
+    own = [c for c in grouped if company in (None, c[3])]
+    exact, kin = ([c for c in own if None not in (v, c[k]) and v == c[k]] for k, v in ((4, name), (5, family)))
+    for rows, code in ((met, "DATE_NOT_FOUND"), (grouped, "GROUP_MISMATCH"), (own, "COMPANY_MISMATCH")):
+        if not rows:
+            return src, code, None
+    for rows, code in ((exact, "EXACT"), (kin, "DOCUMENT_FAMILY_RECOVERED"), (own, "UNIQUE_CANDIDATE_RECOVERED")):
+        if rows:
+            return (src, code, rows[0][0]) if len(rows) == 1 else (src, "AMBIGUOUS", None)
+
+
+def test_resolution_from_buckets_is_that_of_all_pairs(spark):
+    rnd = random.Random(7)
+    one = lambda *x: rnd.choice(x)
+    receipt = lambda: one(f"{rnd.randrange(12):014d}", f"{rnd.randrange(12):014d}", f"r{rnd.randrange(4)}")
+    rest = lambda: (one("g", "h", None), one("A", "B", "C", None), one("n", "m", "o", None), one("f", "e", None))
+    candidates = [(receipt(), f"d{rnd.randrange(40)}", *rest()) for _ in range(240)]
+    sources = [(k, receipt(), one(*[f"d{x}" for x in range(42)], None), *rest()) for k in range(1500)]
+    c = spark.createDataFrame(candidates, "receipt string, submitted string, doc_group string, company string, name string, family string")
+    s = spark.createDataFrame(sources, "src long, receipt string, original_date string, doc_group string, company string, name string, family string")
+    want = [_resolved(x, candidates) for x in sources]
+    assert sorted(map(tuple, R.resolve_corrections(s, c).collect())) == want and len({x[1] for x in want}) == 8
+
+
+@needs_tables
+def test_every_order_is_a_source_of_a_correction(spark):
+    got = sorted(map(tuple, entry.queries()["correction_target_resolution"](spark, SMALL).collect()))
+    assert got == _uncut("correction_target_resolution", " where o_orderkey % 10 = 1")
