@@ -98,6 +98,6 @@ def merged_references(t: Tables) -> DataFrame:
 
 @query("answer_envelopes", "select o_orderkey, json_object('question_id', 'q' || o_orderkey, 'question', o_orderpriority, 'retrieved_context', null, 'think_trace', o_orderstatus, 'answer', case when o_orderstatus = 'F' then 'done' end)::varchar as envelope from orders where o_orderkey % 50 = 0 or o_orderstatus = 'P'")
 def answer_envelopes(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderkey % 50 = 0 or o_orderstatus = 'P'").select("o_orderkey", F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("q"), "o_orderpriority", F.lit(None).cast("string").alias("c"), "o_orderstatus", F.when(F.col("o_orderstatus") == "F", "done").alias("a"))
+    rows = t.orders.select("o_orderkey", F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("q"), "o_orderpriority", F.lit(None).cast("string").alias("c"), "o_orderstatus", F.when(F.col("o_orderstatus") == "F", "done").alias("a"))
     fields = {"question_id": "q", "question": "o_orderpriority", "retrieved_context": "c", "think_trace": "o_orderstatus", "answer": "a"}
     return rows.select("o_orderkey", F.to_json(F.struct(*[F.col(v).alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}).alias("envelope"))

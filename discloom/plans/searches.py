@@ -188,5 +188,5 @@ def kv_flatten(t: Tables) -> DataFrame:
 @query("record_projection", "select o_custkey, json_object('columns', ['o_orderkey', 'o_orderstatus'], 'records', list([o_orderkey::varchar, o_orderstatus] order by o_orderkey))::varchar as canonical from orders where o_custkey <= 50 group by 1")
 def record_projection(t: Tables) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
-    grouped = t.orders.where("o_custkey <= 50").groupBy("o_custkey").agg(rows.alias("records"))
+    grouped = t.orders.groupBy("o_custkey").agg(rows.alias("records"))
     return grouped.select("o_custkey", F.to_json(F.struct(F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")).alias("columns"), "records")).alias("canonical"))

@@ -83,3 +83,10 @@ def test_resolution_from_buckets_is_that_of_all_pairs(spark):
 def test_every_order_is_a_source_of_a_correction(spark):
     got = sorted(map(tuple, entry.queries()["correction_target_resolution"](spark, SMALL).collect()))
     assert got == _uncut("correction_target_resolution", " where o_orderkey % 10 = 1")
+
+
+@needs_tables
+@pytest.mark.parametrize("name, cut", [("record_projection", " where o_custkey <= 50"), ("answer_envelopes", " where o_orderkey % 50 = 0 or o_orderstatus = 'P'")])
+def test_every_order_is_projected(spark, name, cut):
+    assert cut in entry.oracle_sql()[name]
+    assert sorted(map(tuple, entry.queries()[name](spark, SMALL).collect())) == _uncut(name, cut)
