@@ -1,8 +1,9 @@
 """Language ID by compression: each text is encoded with a zstandard raw-content dictionary of every language, and the
 language of the smallest encoding wins; a narrow margin is rejected. Texts are lower-cased first.
 
-Dictionaries are raw text of a bounded, documented sample: up to SAMPLE_DOCS training rows of each language, chosen by a
-hash of doc_id, DICT_BYTES in all, taken in turn from the rows. Rows whose own encoding prefers another
+Dictionaries are raw text of a bounded, documented sample: SAMPLE_DOCS training rows of each language, or as many more as
+fill DICT_BYTES where texts are short, chosen by a hash of doc_id. A long text gives WINDOWS windows from all its parts,
+SAMPLE_CHARS in all, and its share of the dictionary is slices from all of these. Rows whose own encoding prefers another
 language are left out of a second round, so mislabelled rows do not spoil a dictionary. Long texts are encoded in
 blocks of BLOCK bytes and sizes summed, so that a long text keeps meeting the dictionary instead of its own past.
 
@@ -13,19 +14,22 @@ smaller language code. Null langs are not learned. Repeated rows are judged alik
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from discloom.llm.classify import remainder
 from discloom.llm.common import bounded_batches
 
 SAMPLE_DOCS = 240
 SAMPLE_CHARS = 4000
+WINDOWS = 8
 DICT_BYTES = 128 << 10
+SLICE = 200
 BLOCK = 8 << 10
 #: Level 6 with matches of three bytes and more: short matches tell languages apart, faster levels miss them.
 LEVEL, MIN_MATCH = 6, 3
@@ -64,22 +68,47 @@ def classify(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompre
     return sizes[0][1], round(min(1.0, 0.5 + margin / (8 * MARGIN)), 9), margin < MARGIN
 
 
+def _spread(t: bytes, share: int) -> bytes:
+    """share bytes of t: slices of about SLICE bytes, one from each equal part, at a place chosen by a hash."""
+    if len(t) <= share:
+        return t
+    k = max(1, share // SLICE)
+    part, size = len(t) // k, share // k
+    at = zlib.crc32(t) % (part - size + 1)
+    return b" ".join(t[n * part + at : n * part + at + size] for n in range(k))
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    share = max(200, DICT_BYTES // max(1, len(texts)))
-    return b" ".join(t[:share] for t in texts)[:DICT_BYTES]
+    """Equal shares of all texts; what short ones leave goes to the longer."""
+    left, share = DICT_BYTES, DICT_BYTES
+    for done, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - done)
+        if n > share:
+            break
+        left, share = left - n, DICT_BYTES
+    return b" ".join(_spread(t, max(SLICE, share)) for t in texts)[:DICT_BYTES]
+
+
+def _windows(text: Column, doc_id: Column) -> Column:
+    """A text of up to SAMPLE_CHARS whole; of a longer one a window from each of WINDOWS equal parts, at a place chosen by a hash."""
+    part, size = F.floor(F.length(text) / WINDOWS), SAMPLE_CHARS // WINDOWS
+    cut = [F.substr(text, (part * k + F.pmod(F.xxhash64(doc_id, F.lit(k)), part - size + 1) + 1).cast("int"), F.lit(size)) for k in range(WINDOWS)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *cut))
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the rows that are not held out."""
     n, held = HELD_OUT
     rows = docs.where((remainder(F.col("doc_id"), n) != held) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    best = F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("doc_id"), F.col("text"))))
-    # a row's hash keeps it or not: about 1000 candidates of each language, of which the first SAMPLE_DOCS are taken
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    thin = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
-    limit = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
+    # as many rows as fill a dictionary with equal shares, SAMPLE_DOCS where no text is shorter than its share
+    each = F.avg(F.least(F.length("text"), F.lit(DICT_BYTES // SAMPLE_DOCS)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.greatest(F.lit(SAMPLE_DOCS), F.ceil(F.lit(DICT_BYTES) / each)).cast("int").alias("most"))
+    # a row's hash keeps it or not: about four times as many candidates of each language, of which the first are taken
+    thin = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
+    limit = F.least(F.lit(1.0), 4.0 * F.col("most") / F.col("n"))
     picked = thin.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
-    found = picked.groupBy("lang").agg(F.slice(best, 1, SAMPLE_DOCS).alias("rows")).collect()
+    best = F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("doc_id"), _windows(F.col("text"), F.col("doc_id")).alias("text"))))
+    found = picked.groupBy("lang", "most").agg(best.alias("rows")).select("lang", F.slice("rows", F.lit(1), F.col("most")).alias("rows")).collect()
     texts = {r.lang: [x.text.lower().encode("utf-8", "replace") for x in r.rows] for r in found}
     made = {lang: _dictionary(own) for lang, own in texts.items()}
     if len(made) > 1:
