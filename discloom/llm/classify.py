@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from discloom.llm import subword
-from discloom.llm.common import bounded_batches, byte_view
+from discloom.llm.common import bounded_batches, byte_view, windows
 
-#: Labelled rows of either class that a model is fitted on at most, and the characters of a row that may be one.
+#: Labelled rows of either class that a model is fitted on at most, and the characters that a row gives: a longer text
+#: gives WINDOWS windows from all its parts.
 SAMPLE = (1200, 2000)
 SAMPLE_CHARS = 6000
+WINDOWS = 12
 THRESHOLD = 0.7
 
 
@@ -25,11 +27,14 @@ def remainder(doc_id: Column, n: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rare: int, allowed: Column, sample: tuple[int, int] = SAMPLE) -> list[tuple[bytes, int]]:
     """(text, label) of up to sample[0] rows of class `rare` and sample[1] of the other, chosen by a hash of doc_id.
 
-    Rows with a null id, label or text, or over SAMPLE_CHARS characters, are not chosen; a repeated id counts once,
-    with its highest label. The ids are few and broadcast; texts of the sample alone come to the driver.
+    Rows with a null id or label, or without a document whose text has a word, are not chosen; a repeated id counts once, with
+    its highest label. Long texts are chosen like others and give windows of the whole text. The chosen ids are few and
+    broadcast; texts of the sample alone come to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("label") == value).orderBy(*order).limit(n) for value, n in ((rare, sample[0]), (1 - rare, sample[1]))]
     # ids come through the driver: at most sum(sample) of them
@@ -37,8 +42,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rare: int, a
     if not ids:
         return []
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).collect()
+    given = windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS, whole_words=True)
+    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", given.alias("text")).dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [(r.text.encode("utf-8", "replace"), r.label) for r in rows]
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch given to Python; a batch of the longest usual texts stays near 100 MB.
 BATCH_ROWS = 1000
@@ -77,3 +77,12 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
         yield start, min(end, n)
         start = min(end, n)
+
+
+def windows(text: Column, doc_id: Column, chars: int, n: int, whole_words: bool = False) -> Column:
+    """A text of up to `chars` characters whole; of a longer one a window from each of n equal parts, at a place chosen by a hash."""
+    part, size = F.floor(F.length(text) / n), chars // n
+    cut = [F.substr(text, (part * k + F.pmod(F.xxhash64(doc_id, F.lit(k)), part - size + 1) + 1).cast("int"), F.lit(size)) for k in range(n)]
+    if whole_words:
+        cut = [F.regexp_replace(x, r"^\S*\s|\s\S*$", "") for x in cut]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *cut))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from discloom.llm.classify import remainder
-from discloom.llm.common import bounded_batches
+from discloom.llm.common import bounded_batches, windows
 
 SAMPLE_DOCS = 240
 SAMPLE_CHARS = 4000
@@ -89,13 +89,6 @@ def _dictionary(texts: list[bytes]) -> bytes:
     return b" ".join(_spread(t, max(SLICE, share)) for t in texts)[:DICT_BYTES]
 
 
-def _windows(text: Column, doc_id: Column) -> Column:
-    """A text of up to SAMPLE_CHARS whole; of a longer one a window from each of WINDOWS equal parts, at a place chosen by a hash."""
-    part, size = F.floor(F.length(text) / WINDOWS), SAMPLE_CHARS // WINDOWS
-    cut = [F.substr(text, (part * k + F.pmod(F.xxhash64(doc_id, F.lit(k)), part - size + 1) + 1).cast("int"), F.lit(size)) for k in range(WINDOWS)]
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *cut))
-
-
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the rows that are not held out."""
     n, held = HELD_OUT
@@ -107,7 +100,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     thin = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     limit = F.least(F.lit(1.0), 4.0 * F.col("most") / F.col("n"))
     picked = thin.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
-    best = F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("doc_id"), _windows(F.col("text"), F.col("doc_id")).alias("text"))))
+    best = F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("doc_id"), windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS).alias("text"))))
     found = picked.groupBy("lang", "most").agg(best.alias("rows")).select("lang", F.slice("rows", F.lit(1), F.col("most")).alias("rows")).collect()
     texts = {r.lang: [x.text.lower().encode("utf-8", "replace") for x in r.rows] for r in found}
     made = {lang: _dictionary(own) for lang, own in texts.items()}

@@ -2,7 +2,8 @@
 
 import random
 
-from discloom.llm import lang_id
+from discloom.llm import classify, lang_id
+from pyspark.sql import functions as F
 
 
 def _words(seed, n):
@@ -32,3 +33,15 @@ def test_a_share_is_spread_over_its_text():
     t = bytes(range(256)) * 20
     assert lang_id._spread(t, 6000) == t and len(lang_id._spread(t, 700)) <= 702
     assert lang_id._dictionary([b"x" * 50, b"y" * (200 << 10)]).count(b"y") > 120 << 10
+
+
+def test_sample_is_full_and_long_texts_give_all_their_parts(spark):
+    rows = [(k, " ".join(f"w{k}p{n // 400}" for n in range(4000))) for k in range(200)] + [(k, "short text") for k in range(200, 212)] + [(212, " \n"), (213, None)]
+    labels = [(k, k % 2) for k in range(600)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = classify.labelled_sample(docs, known, "toxic", 1, F.lit(True), (30, 50))
+    assert [sum(y == v for _, y in got) for v in (1, 0)] == [30, 50]
+    long = [t for t, _ in got if len(t) > 100]
+    assert len(long) > 40 and all(len(t) <= classify.SAMPLE_CHARS + classify.WINDOWS for t in long)
+    assert all(len({w.split(b"p")[1] for w in t.split()}) >= 8 for t in long)
+    assert len(classify.labelled_sample(docs, known, "toxic", 1, F.lit(True))) == 212
