@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of an Arrow batch given to Python; a batch of the longest usual texts stays near 100 MB.
+#: Rows and bytes of an Arrow batch given to Python: a batch ends at the first bound that it reaches (a longer row stands alone).
 BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,11 +51,11 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the rows of an Arrow batch to at most `rows`, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> None:
+    """Lowers an Arrow batch to at most `rows` rows and about `most_bytes` bytes, on both sides of the pipe to a Python worker."""
+    for key, default, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", most_bytes)):
+        if not 0 < int(spark.conf.get(key, default)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
