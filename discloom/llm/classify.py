@@ -28,7 +28,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rare: int, a
     """(text, label) of up to sample[0] rows of class `rare` and sample[1] of the other, chosen by a hash of doc_id.
 
     Rows with a null id or label, or without a document whose text has a word, are not chosen; a repeated id counts once, with
-    its highest label. Long texts are chosen like others and give windows of the whole text. The chosen ids are few and
+    its highest label and, of its texts, the smallest. Long texts are chosen like others and give windows of the whole text. The chosen ids are few and
     broadcast; texts of the sample alone come to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
@@ -43,7 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rare: int, a
         return []
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
     given = windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS, whole_words=True)
-    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", given.alias("text")).dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", given.alias("text")).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [(r.text.encode("utf-8", "replace"), r.label) for r in rows]
 

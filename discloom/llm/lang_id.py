@@ -7,13 +7,14 @@ SAMPLE_CHARS in all, and its share of the dictionary is slices from all of these
 language are left out of a second round, so mislabelled rows do not spoil a dictionary. Long texts are encoded in
 blocks of BLOCK bytes and sizes summed, so that a long text keeps meeting the dictionary instead of its own past.
 
-Edge cases: `und` with score 0 for a null text or one without a letter, or when nothing was learned; a tie goes to the
-smaller language code. Null langs are not learned. Repeated rows are judged alike. Empty tables give empty results.
+Edge cases: `und` with score 0 for a null text or one without a letter (Unicode categories L: digits, fractions and numerals
+are none), or when nothing was learned; a tie goes to the smaller language code; with one language alone its score is 1. Null
+langs are not learned; rows that repeat an id are learned as one, by its smallest text. Repeated rows are judged alike. Empty
+tables give empty results. Columns besides doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,7 +37,6 @@ LEVEL, MIN_MATCH = 6, 3
 #: Share of the second-best size by which the best must be smaller, or the text is rejected.
 MARGIN = 0.02
 HELD_OUT = (5, 0)
-_LETTER = re.compile(r"[^\W\d_]")
 
 _made: dict[int, list[tuple[str, zstandard.ZstdCompressor]]] = {}
 
@@ -57,7 +57,7 @@ def _compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zs
 
 def classify(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
     """(language, score, rejected)."""
-    if not text or not compressors or not _LETTER.search(text):
+    if not text or not compressors or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     data = text.lower().encode("utf-8", "replace")
     blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
@@ -99,8 +99,10 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     # a row's hash keeps it or not: about four times as many candidates of each language, of which the first are taken
     thin = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     limit = F.least(F.lit(1.0), 4.0 * F.col("most") / F.col("n"))
-    picked = thin.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
-    best = F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("doc_id"), windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS).alias("text"))))
+    picked = thin.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
+    # rows that repeat an id are one candidate, so one id can't fill the list
+    picked = picked.groupBy("lang", "most", "h", "doc_id").agg(F.min(windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS)).alias("text"))
+    best = F.array_sort(F.collect_list(F.struct("h", "doc_id", "text")))
     found = picked.groupBy("lang", "most").agg(best.alias("rows")).select("lang", F.slice("rows", F.lit(1), F.col("most")).alias("rows")).collect()
     texts = {r.lang: [x.text.lower().encode("utf-8", "replace") for x in r.rows] for r in found}
     made = {lang: _dictionary(own) for lang, own in texts.items()}

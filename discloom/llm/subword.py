@@ -1,8 +1,9 @@
 """Hashed word and character n-gram vectors, averaged, with a linear softmax; numpy throughout.
 
 A text's pieces are its whitespace-separated words, pairs of neighbouring words (a word repeated is one pair, whatever
-the word) and the 3- to 5-grams of words' UTF-8 bytes, blanks marking word ends, each hashed to one of BUCKETS vectors. A window's representation is the mean of its pieces' vectors; a softmax
-over two classes reads it. Vectors and softmax are trained jointly by stochastic gradient descent.
+the word) and the 3- to 5-grams of words' UTF-8 bytes, blanks marking word ends, each hashed to one of BUCKETS vectors. A
+word of more than LONGEST bytes counts as several of LONGEST bytes. A window's representation is the mean of its pieces'
+vectors; a softmax over two classes reads it. Vectors and softmax are trained jointly by stochastic gradient descent.
 
 Because the softmax reads a mean, a trained model folds into one number for each bucket (its vector's share of the
 logit), and scoring a window is a mean of table look-ups: the whole corpus is scored vectorised over byte positions.
@@ -10,6 +11,8 @@ logit), and scoring a window is a mean of table look-ups: the whole corpus is sc
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +27,9 @@ WINDOW = 24
 SHRINK = 40
 #: Batches that a fit takes at least: a small sample is gone through more often.
 LEAST_STEPS = 800
-#: Bytes of text handled at once.
-PIECE = 1 << 19
+LONGEST = 1 << 12
+#: Bytes of text handled at once; far more than a window of the longest words.
+PIECE = 1 << 18
 
 
 @dataclass
@@ -42,6 +46,7 @@ class Model:
 
 _FOLDS = {fold: bytes(32 if SEPARATOR[b] else int(LOWER[b]) if fold else b for b in range(256)) for fold in (False, True)}
 _SHIFT = U(64 - BUCKETS.bit_length() + 1)
+_ENDLESS, _BLANKS = re.compile(rb"[^ \t-\r]{%d}(?=[^ \t-\r])" % LONGEST), re.compile(rb"[ \t-\r]{2,}")
 _down: dict[int, np.ndarray] = {}
 
 
@@ -112,6 +117,35 @@ class Pieces:
             return (((self.total[g:] - self.total[:span]) * _salted(n, g)[1][:span]) >> _SHIFT).astype(np.int32), good
 
 
+def cut_words(text: bytes) -> bytes:
+    """The text with words of more than LONGEST bytes cut, and runs of blanks shortened where it is longer than PIECE."""
+    if len(text) <= LONGEST:
+        return text
+    # a longer word covers one of these stretches whole
+    half = LONGEST // 2
+    if not SEPARATOR[np.frombuffer(text, np.uint8, len(text) // half * half)].reshape(-1, half).any(axis=1).all():
+        text = _ENDLESS.sub(rb"\g<0> ", text)
+    return _BLANKS.sub(b" ", text) if len(text) > PIECE else text
+
+
+def segments(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A text of cut_words() in stretches of up to PIECE bytes that begin with a window, and how many words before it each has.
+
+    Each stretch but the first starts with the word before its first window, so pairs and repetitions are seen as in the whole text.
+    """
+    before, at = None, 0
+    while len(text) - at > PIECE:
+        gap = SEPARATOR[np.frombuffer(text, np.uint8, PIECE, at)]
+        first = ~gap
+        first[1:] &= gap[:-1]
+        starts = np.flatnonzero(first)
+        k = (len(starts) - 1) // WINDOW * WINDOW
+        stop = at + int(starts[k])
+        yield text[at if before is None else before : stop], int(before is not None)
+        before, at = at + int(starts[k - 1]), stop
+    yield text[at if before is None else before :], int(before is not None)
+
+
 def windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of the windows of all rows, and the first window of each row; the last window of a row may be short."""
     counts = -(-np.diff(bounds) // width)
@@ -120,10 +154,10 @@ def windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[row] + (np.arange(firsts[-1]) - firsts[row]) * width, firsts
 
 
-def window_sums(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of shares, number of pieces) of each window, and the first window of each row."""
+def window_sums(model: Model, texts: list[bytes], skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of shares, number of pieces) of each window, and the first window of each row. skip: words before the first window of a lone text."""
     p = Pieces(texts, model.fold, model.pooling == "max")
-    starts, firsts = windows(p.bounds, WINDOW)
+    starts, firsts = windows(p.bounds + np.append(skip, np.zeros(len(texts), np.int64)), WINDOW)
     if not len(starts):
         return np.empty(0), np.empty(0), firsts
     value, count = np.zeros(len(p.x) + 1), np.zeros(len(p.x) + 1, np.uint8)
@@ -140,28 +174,17 @@ def window_sums(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def logits(model: Model, texts: list[bytes]) -> np.ndarray:
-    """One logit for each text: of the mean over all pieces, or of its highest window; `blank` for one without words.
-
-    Texts longer than PIECE are cut at blanks; windows begin anew at each cut.
-    """
-    cuts: list[tuple[int, bytes]] = []
-    for r, t in enumerate(texts):
-        a = 0
-        while len(t) - a > PIECE:
-            gaps = np.flatnonzero(SEPARATOR[np.frombuffer(t, np.uint8, PIECE, a)])
-            cut = a + (int(gaps[-1]) + 1 if len(gaps) else PIECE)
-            cuts.append((r, t[a:cut]))
-            a = cut
-        cuts.append((r, t[a:] if a else t))
+    """One logit for each text: of the mean over all pieces, or of its highest window; `blank` for one without words."""
+    cuts = [(r, *cut) for r, t in enumerate(texts) for cut in segments(cut_words(t))]
     rows = len(texts)
     sums, counts, best = np.zeros(rows), np.zeros(rows), np.full(rows, -np.inf)
     k = 0
     while k < len(cuts):
         e, size = k + 1, len(cuts[k][1])
-        while e < len(cuts) and size + len(cuts[e][1]) <= PIECE:
+        while e < len(cuts) and not cuts[k][2] and not cuts[e][2] and size + len(cuts[e][1]) <= PIECE:
             size += len(cuts[e][1])
             e += 1
-        s, c, firsts = window_sums(model, [t for _, t in cuts[k:e]])
+        s, c, firsts = window_sums(model, [t for _, t, _ in cuts[k:e]], cuts[k][2])
         live = np.flatnonzero(np.diff(firsts))
         if len(live):
             row = np.array([cuts[k + j][0] for j in live])
@@ -185,6 +208,7 @@ class _Bags:
     """Windows of training texts as bags of buckets."""
 
     def __init__(self, texts: list[bytes], fold: bool, width: int, once: bool):
+        texts = [cut_words(t) for t in texts]
         buckets, counts, firsts, base, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [0], 0, 0
         while at < len(texts):
             end, size = at + 1, len(texts[at])
@@ -253,19 +277,22 @@ def _sgd(bags: _Bags, which: np.ndarray, label: np.ndarray, weight: np.ndarray,
 
 
 def train(texts: list[bytes], labels: np.ndarray, fold: bool, pooling: str, dims: int = 8, epochs: int = 4, rate: float = 0.2, rounds: int = 2, target: float = 0.7, seed: int = 11) -> Model:
-    """A model for texts' 0/1 labels. pooling 'mean' reads whole texts; 'max' the highest window, which a positive text is taught by.
+    """A model for texts' 0/1 labels; where only one label has texts with words, every score is that label's. pooling 'mean' reads whole texts; 'max' the highest window, which a positive text is taught by.
 
-    The logit's gain and bias come from rows that training holds back, and put `target` where precision and recall balance best.
+    The logit's gain and bias come from rows that training holds back (from all, if a class would be missing), and put `target` where precision and recall balance best.
     """
     labels = np.asarray(labels).astype(int)
-    if len(set(labels.tolist())) < 2:
-        only = 4.0 if labels.any() else -4.0
-        return Model(np.zeros(BUCKETS), 1.0, only, only, fold, pooling)
     rng = np.random.default_rng(seed)
     bags = _Bags(texts, fold, WINDOW if pooling == "max" else 1 << 40, pooling == "max")
     full = np.flatnonzero(np.diff(bags.firsts) > 0)
+    taught = set(labels[full].tolist())
+    if len(taught) < 2:
+        only = 4.0 if taught == {1} else -4.0
+        return Model(np.zeros(BUCKETS), 1.0, only, only, fold, pooling)
     held = rng.random(len(labels)) < 0.25
-    learn = full[~held[full]]
+    learn, check = full[~held[full]], full[held[full]]
+    if min(len(set(labels[part].tolist())) for part in (learn, check)) < 2:
+        learn = check = full  # too few rows to hold any back
     ratio = np.clip((labels[learn] == 0).sum() / max(1, (labels[learn] == 1).sum()), 0.2, 5.0)
     first, last = bags.firsts[:-1], bags.firsts[1:]
     if pooling == "max":
@@ -292,7 +319,6 @@ def train(texts: list[bytes], labels: np.ndarray, fold: bool, pooling: str, dims
     if pooling == "max":
         means = means * size / (size + SHRINK)
     values = np.array([means[a:b].max() if b > a else np.nan for a, b in zip(first, last, strict=True)])
-    check = full[held[full]]
     x, y = values[check], labels[check]
     # the cut with the best F1 on the held-back rows, in the middle of its gap; the spread sets the slope
     order = np.argsort(-x)
@@ -301,7 +327,7 @@ def train(texts: list[bytes], labels: np.ndarray, fold: bool, pooling: str, dims
     k = int(f1.argmax())
     below = x[order[k + 1]] if k + 1 < len(x) else x[order[k]] - 1
     cut = (x[order[k]] + below) / 2
-    high, low = np.median(x[y == 1]) if (y == 1).any() else cut + 1, np.median(x[y == 0]) if (y == 0).any() else cut - 1
+    high, low = np.median(x[y == 1]), np.median(x[y == 0])
     gain = 6 / max(high - low, 1e-6)
     bias = float(np.log(target / (1 - target)) - gain * cut)
     return Model(shares, gain, bias, gain * low + bias, fold, pooling)

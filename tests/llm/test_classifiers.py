@@ -1,10 +1,14 @@
 """Held-out accuracy and edge cases of the trained operators."""
 
+import functools
 import random
+import re
+import unicodedata
 
 import numpy as np
+import zstandard
 
-from discloom.llm import subword
+from discloom.llm import lang_id, subword
 from discloom.llm.lang_id import identify, identify_languages
 from discloom.llm.quality import score_quality
 from discloom.llm.toxicity import drop_toxic, score_toxicity
@@ -73,3 +77,80 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     even = {"aa": b"same same", "bb": b"same same"}
     assert [(r.lang_pred, r.rejected) for r in identify(spark.createDataFrame([(1, "same", "", "")], DOCS), even).collect()] == [("aa", True)]
+
+
+def test_learnless_rows(spark):
+    blank = [(k, " " * k, "en", None) for k in range(12)]
+    known = spark.createDataFrame([(k, k % 2, k % 3 % 2) for k in range(12)], LABELS)
+    for query in (score_quality, score_toxicity):
+        got = query(spark.createDataFrame(blank, DOCS), known).collect()
+        assert len(got) == 12 and len({r.score for r in got}) == 1
+    docs = spark.createDataFrame([*blank, (3, "word", "en", None), (3, "other", "en", None), (4, "b", None, None)], DOCS).selectExpr("*", "1 as label", "true as held_out")
+    runs = [sorted(map(str, score_toxicity(docs.repartition(n), known).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 15
+    assert [(r.lang_pred, r.score) for r in identify_languages(docs).where("doc_id = 2").collect()] == [("und", 0.0)]
+
+
+def plain_logit(model, text):
+    """The logit by a loop over words and n-grams."""
+    whole, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+    text = bytes(b + 32 if 65 <= b <= 90 else b for b in text) if model.fold else text
+    words = [w[k : k + subword.LONGEST] for w in re.findall(rb"[^ \t-\r]+", text) for k in range(0, len(w), subword.LONGEST)]
+    shift, top = 64 - (subword.BUCKETS.bit_length() - 1), model.pooling == "max"
+
+    @functools.cache
+    def hashed(x, salt):
+        value = 0
+        for b in reversed(x):
+            value = (value * base + b + 1) & whole
+        return value * (0xD6E8FEB86659FD93 * (2 * salt + 1) & whole) & whole
+
+    def pieces(k):
+        again = k > 0 and words[k - 1] == words[k]
+        if top and again:
+            return []
+        out, edged = [hashed(words[k], 0) >> shift], b" " + words[k] + b" "
+        if k:
+            out.append(0 if again else ((hashed(words[k], 0) * 0x9FB21C651E98DF25 + hashed(words[k - 1], 0) & whole) * 0xD6E8FEB86659FD93 & whole) >> shift)
+        return out + [hashed(edged[a : a + g], g) >> shift for g in subword.GRAMS for a in range(len(edged) - g + 1)]
+
+    if not words:
+        return model.blank
+    bags = [sum((pieces(k) for k in range(a, min(len(words), a + subword.WINDOW))), []) for a in range(0, len(words), subword.WINDOW)]
+    if top:
+        value = max(model.shares[x].sum() / (len(x) + subword.SHRINK) for x in bags)
+    else:
+        value = model.shares[sum(bags, [])].mean()
+    return model.gain * value + model.bias
+
+
+def test_scores_equal_a_plain_loop_whatever_the_length(monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdeé", k=rnd.randrange(1, 9))) for _ in range(300)] + ["x" * 9000, "y" * 4096, "z" * 4097]
+    texts = [" ".join(rnd.choices(words, k=n)).encode() for n in (0, 1, 3, 24, 25, 100, 2000)]
+    texts += [b"a  a a\n\na A b", ("q" * 5000 + " " * 300_000 + " ".join(rnd.choices(words[:250], k=60))).encode()]
+    for pooling, fold in (("max", True), ("mean", False)):
+        model = subword.Model(np.random.default_rng(1).normal(size=subword.BUCKETS), 1.3, 0.2, -3, fold, pooling)
+        want = [plain_logit(model, t) for t in texts]
+        for piece in (1 << 17, 1 << 18):
+            monkeypatch.setattr(subword, "PIECE", piece)
+            assert np.allclose(subword.logits(model, texts), want, atol=1e-9)
+
+
+def test_language_by_brute_compression(spark):
+    dictionaries = {"aa": b"balo mitu lomi tuba " * 60, "bb": b"schein derung ungder " * 60}
+    texts = ["balo tuba", "Derung schein", None, "½ ² ① 12", "lomi derung " * 3000, "é"]
+
+    def brute(text):
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+            return "und"
+        data, sizes = text.lower().encode(), {}
+        for lang, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(lang_id.LEVEL, source_size=lang_id.BLOCK, dict_size=len(content), min_match=lang_id.MIN_MATCH, write_content_size=False)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress(data[k : k + lang_id.BLOCK])) for k in range(0, len(data), lang_id.BLOCK))
+        return min(sizes, key=lambda x: (sizes[x], x))
+
+    rows = [(k, t, "aa", None) for k, t in enumerate(texts * 2)]
+    got = sorted(identify(spark.createDataFrame(rows, DOCS), dictionaries).collect())
+    assert [r.lang_pred for r in got] == [brute(t) for t in texts * 2]
