@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+#: Characters of the draft that as_events() starts a message with.
+DRAFT = 12
 
 
 def escape(x: Column) -> Column:
@@ -51,6 +53,22 @@ def fold_events(log: DataFrame, conv: str, seq: str, role: str, text: str, messa
     )
 
 
+def as_events(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A log of whole messages as the events that a stream of them would leave: conv, message, seq, role, text, op.
+
+    Each row starts as a draft of its first DRAFT characters, is regenerated as its first half and ends with a delta of the rest.
+    seq is (the row's sequence, the event's number), so a null sequence keeps its events in order.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    half = F.floor(F.length(whole) / 2).cast("int")
+    event = lambda n, op, part: F.struct(F.lit(n).alias("n"), F.lit(op).alias("op"), part.alias("text"))
+    events = F.array(event(0, "message", F.substr(whole, F.lit(1), F.lit(DRAFT))), event(1, "regenerate", F.substr(whole, F.lit(1), half)), event(2, "delta", F.substr(whole, half + 1)))
+    # numbered before the explode, so that a row's events have one number
+    rows = log.select(F.col(conv).alias(conv), F.monotonically_increasing_id().alias("message"), F.col(seq).alias("turn"), F.col(role).alias("role"), events.alias("events"))
+    rows = rows.select(conv, "message", "turn", "role", F.explode("events").alias("e"))
+    return rows.select(conv, "message", F.struct("turn", "e.n").alias("seq"), "role", "e.text", "e.op")
+
+
 def format_chats(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", message: str | None = None, op: str | None = None) -> DataFrame:
     """conv, formatted, loss_spans (array of start and end, in characters): one row for each conversation."""
     own = log

@@ -34,13 +34,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_read(spark, sf_dir, "pages"))
-    return warc.read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.complete(warc.read_warc(manifest, payloads=False), manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.format_chats(log.unionAll(probe)))
+    return chat.digest(chat.format_chats(chat.as_events(log.unionAll(probe)), seq="seq", message="message", op="op"))
 
 
 def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ then proves broken (checksum, length, digest) raises ValueError, so damage is ne
 
 Edge cases: null html is an empty payload, null urls are left out of the headers; ties on page_id with equal payloads
 are all responses; a null page_id is written as an empty id and read back as null, and is never the one referred to
-where another page has the payload. Control characters in urls are percent-escaped. Extra columns are not looked at.
+where another page has the payload. A url that can't stand in a header as it is (control characters, blanks, letters
+beyond ASCII) is percent-escaped there and kept whole in a field beside it; any other is stored and read as it stands. Headers
+may have any length. Extra columns are not looked at.
 Archives are opened by pyarrow.fs, so any store that it knows will do.
 """
 
@@ -49,9 +51,10 @@ def _record_id(page_id: int | None) -> str:
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member."""
     block = _HTTP if refers_to is not None else _HTTP + payload
+    uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url is not None else None
     fields = [
         ("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", _record_id(page_id)), ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url is not None else None), ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("WARC-Target-URI", uri), ("X-Original-URL", quote(url, safe="") if url != uri else None), ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if refers_to is not None else None),
         ("WARC-Refers-To", _record_id(refers_to) if refers_to is not None else None),
         ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Refers-To-Page-ID", None if refers_to is None else str(refers_to)), ("X-Payload-Length", str(len(payload))),
@@ -154,9 +157,10 @@ def _deflate_at(window: _Window, at: int) -> int | None:
         place += 2 + int.from_bytes(window.bytes_at(place, 2), "little")
     for bit in (8, 16):
         if flags & bit:
-            length = window.bytes_at(place, 4096).find(0)
-            if length < 0:
-                return None
+            while (length := (piece := window.bytes_at(place, 4096)).find(0)) < 0:
+                if not piece:
+                    return None
+                place += len(piece)
             place += length + 1
     return place + (2 if flags & 2 else 0)
 
@@ -164,19 +168,22 @@ def _deflate_at(window: _Window, at: int) -> int | None:
 def _candidate(window: _Window, at: int) -> bool:
     """Do the bytes at `at` begin a member that holds WARC headers? Its checksum is left to _member()."""
     place = _deflate_at(window, at)
-    inflate, head = zlib.decompressobj(-15), b""
+    if place is None:
+        return False
+    inflate, head, end = zlib.decompressobj(-15), bytearray(), -1
     try:
-        while place is not None and b"\r\n\r\n" not in head and len(head) < 1 << 16 and not inflate.eof:
+        while end < 0 and not inflate.eof:
             piece = window.bytes_at(place, 4096)
             if not piece:
                 return False
-            head += inflate.decompress(piece, 1 << 16)
+            seen = max(0, len(head) - 3)
+            head += inflate.decompress(piece)
             if not head.startswith(b"WARC/1."[: len(head)]):
                 return False
-            place += len(piece)
+            end, place = head.find(b"\r\n\r\n", seen), place + len(piece)
     except zlib.error:
         return False
-    return b"\r\n\r\n" in head and _headers(head.partition(b"\r\n\r\n")[0]) is not None
+    return end >= 0 and _headers(bytes(head[:end])) is not None
 
 
 def _member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -243,8 +250,9 @@ def _rows(path: str, start: int, end: int, size: int) -> Iterator[tuple]:
                     raise ValueError(f"{path}: digest of the record at byte {offset} differs")
             else:
                 payload, n = None, int(fields["x-payload-length"])
-            page, url = fields.get("x-page-id"), fields.get("warc-target-uri")
-            yield int(page) if page else None, unquote(url) if url is not None else None, payload, n, digest, kind, int(refers) if refers else None, path, offset
+            page, whole = fields.get("x-page-id"), fields.get("x-original-url")
+            url = unquote(whole) if whole is not None else fields.get("warc-target-uri")
+            yield int(page) if page else None, url, payload, n, digest, kind, int(refers) if refers else None, path, offset
 
 
 def _reader(payloads: bool):
@@ -280,6 +288,16 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
     return splits.repartition(spread, "path", "start").select("path", "start", "stop", "bytes").mapInArrow(_reader(payloads), RECORDS)
 
 
+def complete(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records, written down, once each archive has given as many as its manifest says; ValueError otherwise."""
+    records = materialise(records, "records")
+    read = records.groupBy("path").agg(F.count("*").alias("read"))
+    short = manifest.join(read, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).select("path", "records", "read").first()
+    if short is not None:
+        raise ValueError(f"{short.path} holds {short.records} records, {short.read or 0} were read")
+    return records
+
+
 ORACLE = f"""
 with p as (
   select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n from pages

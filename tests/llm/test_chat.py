@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from discloom.llm.chat import digest, format_chats, read_turns
+from discloom.llm.chat import as_events, digest, format_chats, read_turns
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -46,3 +46,13 @@ def test_events_fold_into_messages(spark):
 
 def test_empty(spark):
     assert digest(format_chats(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_whole_messages_pass_through_the_fold(spark):
+    rnd = random.Random(6)
+    rows = [(k % 7, rnd.choice([None, 0, 1, 2]), rnd.choice(["user", "assistant", None]), rnd.choice([None, "", "x", "<|end|>\\", "é😀" * 9])) for k in range(120)]
+    rows += [rows[0]] * 3 + [(50, 1, "assistant", "long " * 200_000), (None, 1, "assistant", "z")]
+    log = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'m' as message", "'delete' as op", "0 as seq", "'f' as formatted")
+    folded = digest(format_chats(as_events(log), seq="seq", message="message", op="op"))
+    assert {r[0]: tuple(r)[1:5] for r in folded.collect()} == brute(rows)
+    assert digest(format_chats(log)).exceptAll(folded).isEmpty()

@@ -1,6 +1,8 @@
 """Round trips of archives at every split size, false gzip magic, and damage."""
 
 import hashlib
+import random
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -21,8 +23,6 @@ def read(data, size):
 
 def test_every_split_owns_each_record_once():
     bait = warc.MAGIC * 50 + make([(99, "bait", b"inner", None)])
-    import random
-
     noise = random.Random(1).randbytes(3000)
     data = make([(k, f"http://x/{k}", p, None) for k, p in enumerate([b"", b"a" * 5000, noise, b"tiny", bait[:40], warc.MAGIC])])
     whole = read(data, len(data))
@@ -56,3 +56,34 @@ def test_pages_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 3) if again else ("response", None))
         assert r.payload is None if again else bytes(r.payload) == payload
     assert warc.read_warc(warc.write_warc(frame.limit(0))).collect() == []
+
+
+def test_headers_of_any_length_at_every_split():
+    rnd = random.Random(5)
+    noisy = "http://x/" + "".join(rnd.choices("abcdefghij%2é ", k=200_000))
+    data = make([(1, "http://x/" + "é" * 30_000, b"one", None), (2, noisy, b"two", None), (3, "http://x/a%20b", b"", None)])
+    whole = read(data, len(data))
+    assert [x[1] for x in whole] == ["1", "2", "3"]
+    for size in (1000, 30_000, 77_777):
+        assert read(data, size) == whole
+
+
+def test_member_names_of_any_length():
+    import struct
+
+    inner = zlib.compressobj(3, zlib.DEFLATED, -15)
+    plain = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 7\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    body = inner.compress(plain) + inner.flush()
+    member = b"\x1f\x8b\x08\x18\0\0\0\0\0\x03" + b"n" * 9000 + b"\0" + b"c" * 5000 + b"\0" + body + struct.pack("<II", zlib.crc32(plain), len(plain))
+    assert [x[1] for x in read(member * 2, 4000)] == ["7", "7"]
+
+
+def test_urls_come_back_as_they_are(spark):
+    urls = ["http://x/a%20b", "http://x/a b", "", " led", "http://x/é", "a\r\nb: c", "100%", None, "x" * 200_000, "ü%41" * 60_000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'t' as html", "1 as refers_to", "'x' as path")
+    manifest = warc.write_warc(frame)
+    got = warc.complete(warc.read_warc(manifest, 50_000), manifest)
+    assert {r.page_id: r.url for r in got.collect()} == dict(enumerate(urls))
+    short = manifest.withColumn("records", manifest["records"] + 1)
+    with pytest.raises(ValueError):
+        warc.complete(warc.read_warc(manifest), short)
