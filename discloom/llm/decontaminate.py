@@ -4,13 +4,14 @@ Words are runs of letters and digits (any non-ASCII character counts as one), A-
 consecutive words of an item; an item of fewer words, but not none, is one window. Each text is normalised to
 its words between single spaces and scanned once; a match of a window, spaces included, is a match of its words.
 
-The automaton travels to executors as the windows of the items. That is right for benchmark suites, which do not
-grow with the corpus, but the size is checked: above AUTOMATON_BYTES of item text the windows stay in a table
-and meet the documents' ten-word windows by their 128-bit hashes in a shuffled join instead (windows_join).
+The automaton travels to executors as the items. Its size is bounded: items are dealt by hash to shards of about
+AUTOMATON_BYTES of ids and texts, of which a benchmark suite fills one. Each shard has an automaton of its own and scans
+every whole text once; hits of several shards, a row for each document that has any, are merged by row. The driver
+holds one shard at a time.
 
 Edge cases: null texts and texts without words have n_words 0 and no hits; items without words are ignored;
 items of one text both count; null item_ids count as items but are not named. Empty tables give no rows or no hits.
-Repeated rows each get a row. Other columns are not looked at.
+Repeated rows each get a row. Very long texts are scanned whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,22 +19,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from discloom.llm.common import bounded_batches, materialise
 
 WINDOW = 10
-#: Item text up to which one automaton is built (about 20 times as much memory in each Python worker).
+#: Bytes of item ids and texts that one automaton holds (about 20 times as much memory in each Python worker).
 AUTOMATON_BYTES = 4 << 20
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 #: Words of a text whose A-Z still stand.
-_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
 _built: dict[str, ahocorasick.Automaton] = {}
@@ -78,141 +79,132 @@ def _spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return spans
 
 
+def _hits(batches: Iterator[pa.RecordBatch], key: str, items: list[tuple[str | None, list[bytes]]]) -> Iterator[tuple]:
+    """(batch, row of it, text, number of words, runs hit as (first word, words), items that occur) of every row."""
+    machine = _automaton(key, items)
+    ready = len(machine) > 0
+    for batch in batches:
+        for row, text in enumerate(batch.column(1)):
+            text = text.as_py()
+            words = normal_words(text)
+            runs: dict[tuple[int, int], None] = {}
+            owners: set[int] = set()
+            if words and ready:
+                line = b" " + b" ".join(words) + b" "
+                found = list(machine.iter(line.decode("latin-1")))
+                if found:
+                    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                    firsts = np.searchsorted(gaps, np.array([end - length + 1 for end, (length, _, _) in found]))
+                    for first, (_, (_, size, own)) in zip(firsts.tolist(), found, strict=True):
+                        runs[first, size] = None
+                        owners.update(own)
+            yield batch, row, text, len(words), list(runs), owners
+
+
+def _result(ids: pa.Array, rows: list[tuple[str | None, int, list[tuple[int, int]], int, list[str]]]) -> pa.RecordBatch:
+    """RESULT's rows from (text, number of words, runs, number of items, names) of each."""
+    n_hit, spans = [], []
+    for text, n, runs, _, _ in rows:
+        hit = np.zeros(n, bool)
+        for first, size in runs:
+            hit[first : first + size] = True
+        n_hit.append(int(hit.sum()))
+        spans.append(_spans(text or "", hit) if runs else [])
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array([r[1] for r in rows], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
+            pa.array([hashlib.sha256(",".join(sorted(r[4])).encode()).hexdigest() for r in rows], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        ],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+    )
+
+
+def _named(items: list[tuple[str | None, list[bytes]]], owners: set[int]) -> list[str]:
+    return [str(items[k][0]) for k in owners if items[k][0] is not None]
+
+
 def _scanner(key: str, items: list[tuple[str | None, list[bytes]]]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(key, items)
-        ready = len(machine) > 0
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                text = text.as_py()
-                words = normal_words(text)
-                n = len(words)
-                found = []
-                if n and ready:
-                    line = b" " + b" ".join(words) + b" "
-                    found = list(machine.iter(line.decode("latin-1")))
-                if not found:
-                    rows.append((n, 0, 0, "", False, []))
-                    continue
-                gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                hit, owners = np.zeros(n, bool), set()
-                for end, (length, size, own) in found:
-                    first = int(np.searchsorted(gaps, end - length + 1))
-                    hit[first : first + size] = True
-                    owners.update(own)
-                names = sorted(str(items[k][0]) for k in owners if items[k][0] is not None)
-                rows.append((n, int(hit.sum()), len(owners), ",".join(names), True, _spans(text, hit)))
-            n_words, n_hit, n_items, names, bad, spans = zip(*rows, strict=True) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()), pa.array(bad, pa.bool_()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
+            rows = [(text, n, runs, len(owners), _named(items, owners)) for _, _, text, n, runs, owners in _hits(iter([batch]), key, items)]
+            yield _result(batch.column(0), rows)
 
     return scan
 
 
-def _items(items: DataFrame, item_id: str, item_text: str, limit: int) -> list[tuple[str | None, list[bytes]]] | None:
-    """Ids and words of the items in order; None if their text takes more than `limit` bytes."""
-    asked = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    if size > limit:
-        return None
-    pairs = [(r.item_id, normal_words(r.text)) for r in asked.collect()]
-    return sorted(((i, w) for i, w in pairs if w), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+SHARD_HITS = "row long, firsts array<int>, sizes array<int>, n_items long, names array<string>"
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """RESULT's columns for every row of docs; spans are character offsets into the original text."""
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pairs = _items(items, item_id, item_text, limit)
-    if pairs is None:
-        return windows_join(texts, items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null"))
-    key = hashlib.sha256(repr(pairs).encode()).hexdigest()
-    return texts.mapInArrow(_scanner(key, pairs), RESULT)
+def _shard_scanner(key: str, items: list[tuple[str | None, list[bytes]]]):
+    """SHARD_HITS of the rows (row, text) that hold a window of this shard."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(row, runs, len(owners), _named(items, owners)) for _, row, _, _, runs, owners in _hits(iter([batch]), key, items) if runs]
+            if rows:
+                numbers = batch.column(0).take(pa.array([r[0] for r in rows]))
+                firsts, sizes = ([[run[k] for run in r[1]] for r in rows] for k in (0, 1))
+                columns = [numbers, pa.array(firsts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "firsts", "sizes", "n_items", "names"])
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of docs without a hit, with their own columns; rows are judged in place, without a join, up to the automaton's size."""
-    bounded_batches(docs.sparkSession)
-    pairs = _items(items, "item_id", "text", limit)
-    if pairs is None:
-        numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        bad = find_contamination(numbered, items, "__row", text_col, limit=limit).where("contaminated").select(F.col("doc_id").alias("__row"))
-        return numbered.join(bad, "__row", "left_anti").drop("__row")
-    scan, at = _scanner(hashlib.sha256(repr(pairs).encode()).hexdigest(), pairs), docs.columns.index(text_col)
+    return scan
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (found,) = scan(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])]))
-            yield batch.filter(pc.invert(found.column("contaminated")))
 
-    return docs.mapInArrow(clean, docs.schema)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, firsts, sizes, n_items, names in zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "sizes", "n_items", "names")), strict=True):
+            rows.append((text, len(normal_words(text)), list(zip(firsts or [], sizes or [], strict=True)), n_items, names or []))
+        yield _result(batch.column("doc_id"), rows)
+
 
+def _shards(items: DataFrame, item_id: str, item_text: str, limit: int) -> Iterator[tuple[int, str, list[tuple[str | None, list[bytes]]]]]:
+    """(number of shards, key, ids and words of the items in order) of each shard, one at a time; there is always one."""
+    asked = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").rlike(_WORD.pattern))
+    size = asked.agg(F.sum(F.octet_length("text").cast("long") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()[0] or 0
+    n = max(1, -(-size // limit))
+    for k in range(n):
+        part = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else asked
+        pairs = sorted(((r.item_id, normal_words(r.text)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        yield n, hashlib.sha256(repr(pairs).encode()).hexdigest(), pairs
 
-def _windows(width: int, whole: bool):
-    """(id, start, width, hash) of each window of each row; whole: rows of fewer words give one window of all."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """RESULT's columns for every row of docs; spans are character offsets into the original text."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, hits = None, []
+    for n, key, pairs in _shards(items, item_id, item_text, limit):
+        if n == 1:
+            return texts.mapInArrow(_scanner(key, pairs), RESULT)
+        rows = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "texts") if rows is None else rows
+        hits.append(materialise(rows.select("row", "text").mapInArrow(_shard_scanner(key, pairs), SHARD_HITS), "hits"))
+    # items are dealt to one shard each, so counts add up
+    met = reduce(DataFrame.unionAll, hits).groupBy("row").agg(
+        F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("sizes")).alias("sizes"), F.sum("n_items").alias("n_items"), F.flatten(F.collect_list("names")).alias("names")
+    )
+    found = rows.join(met, "row", "left").select("doc_id", "text", "firsts", "sizes", F.coalesce("n_items", F.lit(0)).alias("n_items"), "names")
+    return found.mapInArrow(_merged, RESULT)
+
+
+def _cleaner(key: str, items: list[tuple[str | None, list[bytes]]], at: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, text in enumerate(batch.column(1)):
-                words = normal_words(text.as_py())
-                size = min(width, len(words)) if whole else width
-                if not words or len(words) < size:
-                    continue
-                count = len(words) - size + 1
-                digests = [hashlib.blake2b(b" ".join(words[k : k + size]), digest_size=16).digest() for k in range(count)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[n].as_py()] * count, pa.int64()), pa.array(range(count), pa.int32()), pa.array([size] * count, pa.int32()), pa.array(digests, pa.binary())], ["row", "start", "size", "hash"])
+            pair = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["row", "text"])
+            yield batch.filter(pa.array([not runs for *_, runs, _ in _hits(iter([pair]), key, items)], pa.bool_()))
 
-    return cut
+    return clean
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes"), strict=True):
-            text, n = text.as_py(), len(normal_words(text.as_py()))
-            hit = np.zeros(n, bool)
-            for a, size in zip(starts.as_py() or [], sizes.as_py() or [], strict=True):
-                hit[a : a + size] = True
-            out.append((n, int(hit.sum()), _spans(text or "", hit) if hit.any() else []))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), batch.column("n_items"), batch.column("items_sha256"),
-                pa.array([x[1] > 0 for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-        )
-
-
-def windows_join(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result by a shuffled join on window hashes, for item sets too large for one automaton.
-
-    Each width of item windows (ten and the few shorter ones) is cut from the documents and joined by hash.
-    """
-    rows = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-    named = materialise(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    shape = "row long, start int, size int, hash binary"
-    asked = materialise(named.select("item", "text").mapInArrow(_windows(WINDOW, True), shape).select(F.col("row").alias("item"), "size", "hash").distinct(), "windows")
-    hits = None
-    for (size,) in sorted(asked.select("size").distinct().collect()):
-        cut = rows.select("row", "text").mapInArrow(_windows(size, False), shape)
-        met = cut.join(asked.where(F.col("size") == size).select("item", "hash"), "hash").select("row", "start", "size", "item")
-        hits = met if hits is None else hits.unionAll(met)
-    if hits is None:
-        hits = rows.sparkSession.createDataFrame([], "row long, start int, size int, item long")
-    hits = materialise(hits, "hits")
-    places = hits.select("row", "start", "size").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("p"))
-    owners = hits.select("row", "item").distinct().join(named.select("item", "item_id"), "item")
-    owners = owners.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    met = rows.join(places, "row", "left").join(owners, "row", "left")
-    met = met.select("doc_id", "text", F.col("p.start").alias("starts"), F.col("p.size").alias("sizes"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
-    return met.mapInArrow(_marked, RESULT)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs without a hit, with their own columns; rows are judged in place, without a join, by one shard after another."""
+    bounded_batches(docs.sparkSession)
+    at, left = docs.columns.index(text_col), docs
+    for n, key, pairs in _shards(items, "item_id", "text", limit):
+        left = left.mapInArrow(_cleaner(key, pairs, at), docs.schema)
+        left = materialise(left, "clean") if n > 1 else left
+    return left
 
 
 ORACLE = r"""

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from discloom.llm.decontaminate import find_contamination
+from discloom.llm.decontaminate import drop_contaminated, find_contamination
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -32,7 +32,7 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 300])
 def test_equals_brute_force(spark, limit):
     rnd = random.Random(3)
     pool = [f"w{i}" for i in range(9)] + ["Über", "x's", "é"]
@@ -60,3 +60,14 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r[:4]) for r in find_contamination(docs, items).collect()] == [(1, 2, 0, 0)]
     assert find_contamination(docs.limit(0), items).collect() == []
+
+
+def test_long_and_repeated_rows(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    long = "x " * 400_000 + item.upper() + "!" + " y" * 400_000
+    docs = spark.createDataFrame([(1, long), (1, long), (None, item), (2, "clean")], "doc_id long, text string").selectExpr("*", "'a' as row", "array('z') as names", "1 as n_items")
+    items = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    for limit in (1 << 20, 10):
+        got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in find_contamination(docs, items, limit=limit).collect())
+        assert got == [("1", 800_012, 12, 2, True)] * 2 + [("2", 1, 0, 0, False), ("None", 12, 12, 2, True)]
+        assert [tuple(r) for r in drop_contaminated(docs, items, limit=limit).collect()] == [(2, "clean", "a", ["z"], 1)]
