@@ -42,7 +42,7 @@ from discloom.llm.words import U, mix, shingle_sets
 PLACES, ROWS = 128, 4
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text sketched at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rounds of leaders before the remaining pairs are settled by their rare shingles.
 LEADER_ROUNDS = 3
 COMMON = 20
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with their own columns; of rows that share a doc_id one stays.
+    """The rows of docs that near_duplicates() keeps, with their own columns; of rows that share a doc_id the one with the smallest text stays.
 
     Rows without doc_id or without words stay: they are linked with nothing.
     """
@@ -277,7 +277,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    first = F.min_by(F.struct(*left.columns), F.struct(F.col("text").isNull(), "text", F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind])))
+    return left.where("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(first.alias("r")).select("r.*").unionByName(left.where("doc_id is null"))
 
 
 #: Exact links by shared shingles, and the smallest doc_id that each document reaches.

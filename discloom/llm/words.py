@@ -7,7 +7,7 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; temporaries take about 100 bytes for each.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True

@@ -32,3 +32,8 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_very_long_texts(spark):
+    rows = [(k, "menu\n" + "\n".join(f"{k} line {i}" for i in range(20_000)) + "\n" + "w" * 1_000_000, "a", None, None) for k in range(4)]
+    assert sorted((r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows, 0.08, 3)

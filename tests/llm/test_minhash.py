@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from discloom.llm.minhash import components, near_duplicates, superminhash
+from discloom.llm.minhash import components, drop_near_duplicates, near_duplicates, superminhash
 from discloom.llm.words import mix, shingle_sets, word_hashes
 
 SCHEMA = "doc_id long, text string, component_id string, n_shingles int"
@@ -97,3 +97,10 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long").repartition(7)
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_of_rows_that_share_an_id_the_smallest_text_stays(spark):
+    rows = [(3, "b", "x", 1), (3, "a", "y", 2), (3, None, "z", 3), (None, "a", "n", 4), (None, "a", "n", 4), (4, "long " * 300_000, "l", 5)]
+    for n in (1, 3):
+        got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
+        assert sorted((str(r.doc_id), str(r.text)[:5]) for r in got) == [("3", "a"), ("4", "long "), ("None", "a"), ("None", "a")]

@@ -58,3 +58,15 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(r.doc_id, r.size, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [(1, 3, 3)]
+
+
+def test_repeated_rows_and_no_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "q " * 12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    twice = [(1, "a b c d e f", "en", "x", 5)] * 2 + [(2, "a b c d e f", "en", "y", 5), (3, "b", None, None, None), (3, "a", None, None, None)]
+    spark.createDataFrame(twice, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f"), (3, "a")]
