@@ -13,7 +13,7 @@ from discloom.llm.common import scratch_path
 from discloom.llm.decontaminate import drop_contaminated
 from discloom.llm.line_dedup import dedup_lines
 from discloom.llm.minhash import drop_near_duplicates
-from discloom.llm.mixing import mix
+from discloom.llm.mixing import mix_documents
 from discloom.llm.toxicity import drop_toxic
 
 #: SQL can express neither the trained classifier nor the seeded shuffle: tests hold the stages against brute force.
@@ -39,14 +39,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    return mix_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document that is left."""
+    """Every document that is left, with size, source_size, target and taken (the words that the mix takes of it)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
