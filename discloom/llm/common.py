@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Rows and bytes of an Arrow batch given to Python: a batch ends at the first bound that it reaches (a longer row stands alone).
 BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
+#: Rows of a file of a table of a few numbers.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, known to have at most `rows` narrow rows, in no more partitions than FILE_ROWS asks for: small tables make few files."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every table that materialise() has made in the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from discloom.llm.common import bounded_batches, byte_view, materialise, slices
+from discloom.llm.common import bounded_batches, byte_view, few_files, materialise, slices
 from discloom.llm.words import U, mix, shingle_sets
 
 PLACES, ROWS = 128, 4
@@ -160,8 +160,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = materialise(small, "stars")
-    own = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
+        edges = materialise(few_files(small, 2 * state[0]), "stars")
+    own = few_files(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component"), state[0])
     return own.unionAll(own.select(F.col("component").alias("id"), "component").distinct())
 
 
