@@ -209,7 +209,9 @@ class _Bags:
 
     def __init__(self, texts: list[bytes], fold: bool, width: int, once: bool):
         texts = [cut_words(t) for t in texts]
-        buckets, counts, firsts, base, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [0], 0, 0
+        # a byte begins at most one gram of each length, a word and a pair: room for all is taken once, and touched as it fills
+        room = np.empty(sum(len(t) + 1 for t in texts) * (len(GRAMS) + 2), np.int32)
+        counts, firsts, base, at, filled = [np.empty(0, np.int64)], [0], 0, 0, 0
         while at < len(texts):
             end, size = at + 1, len(texts[at])
             while end < len(texts) and size + len(texts[end]) <= PIECE:
@@ -226,19 +228,25 @@ class _Bags:
                     found.append((bucket[place], place + 1))
                 window = np.searchsorted(begin, np.concatenate([place for _, place in found]), side="right") - 1
                 order = np.argsort(window, kind="stable")
-                buckets.append(np.concatenate([b for b, _ in found])[order])
+                room[filled : filled + len(order)] = np.concatenate([b for b, _ in found])[order]
+                filled += len(order)
                 counts.append(np.bincount(window, minlength=len(starts)))
             firsts += (first[1:] + base).tolist()
             base += len(starts)
             at = end
-        self.bucket = np.concatenate(buckets)
+        self.bucket = room[:filled]
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         self.firsts = np.array(firsts)
 
     def means(self, shares: np.ndarray) -> np.ndarray:
-        n = np.diff(self.at)
-        total = np.concatenate([[0], np.cumsum(shares[self.bucket])])
-        return (total[self.at[1:]] - total[self.at[:-1]]) / np.maximum(n, 1)
+        """Mean share of each window, a stretch of windows of about 1 << 20 pieces at a time."""
+        n, out, k = np.diff(self.at), np.zeros(len(self.at) - 1), 0
+        while k < len(n):
+            e = max(k + 1, int(np.searchsorted(self.at, self.at[k] + (1 << 20), side="right")) - 1)
+            total = np.concatenate([[0], np.cumsum(shares[self.bucket[self.at[k] : self.at[e]]])])
+            out[k:e] = total[self.at[k + 1 : e + 1] - self.at[k]] - total[self.at[k:e] - self.at[k]]
+            k = e
+        return out / np.maximum(n, 1)
 
 
 def _sgd(bags: _Bags, which: np.ndarray, label: np.ndarray, weight: np.ndarray, dims: int, epochs: int, rate: float, rng: np.random.Generator, batch: int = 128) -> np.ndarray:
