@@ -3,14 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from discloom.functions.numeric import is_date_cell, is_numeric_cell, is_percent_cell, is_year_cell, strip
+from discloom.operators.projections import exact_fields
 
-#: Words that hint at a column's role.
-KEYWORDS = {"identifier": ("번호", "코드", "id", "no", "key"), "date": ("일자", "날짜", "date", "기간"), "measure": ("금액", "수량", "price", "amount", "size"), "dimension": ("구분", "유형", "type", "brand", "name")}
+
+@dataclass(frozen=True)
+class ProfileRules:
+    """Thresholds and header words of column roles, and budgets of values; the defaults are fixed values."""
+
+    measure_numeric_ratio: float = 0.8
+    date_ratio: float = 0.8
+    long_text_length: int = 50
+    identifier_unique_ratio: float = 0.9
+    identifier_unique_count: int = 50
+    measure_words: tuple[str, ...] = ("금액", "매출", "수량", "비중", "율", "단가", "장부금액", "취득가액", "증감")
+    dimension_words: tuple[str, ...] = ("구분", "사업부문", "제품", "품목", "지역", "종류", "회사", "법인", "계정과목")
+    date_words: tuple[str, ...] = ("일자", "날짜", "기준일", "변동일", "연도", "년월")
+    identifier_words: tuple[str, ...] = ("성명", "이름", "코드", "번호", "ID")
+    values_per_column: int = 20
+    values_per_table: int = 50
+
+    def __post_init__(self) -> None:
+        for f in fields(self):
+            value, kind = getattr(self, f.name), f.type
+            if kind == "float" and (isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= 1):
+                raise ValueError(f"{f.name} must lie between 0 and 1")
+            if kind == "int" and (isinstance(value, bool) or not isinstance(value, int) or value <= 0):
+                raise ValueError(f"{f.name} must be a positive whole number")
+            if kind.startswith("tuple") and not (isinstance(value, tuple) and value and all(isinstance(x, str) and x.strip() for x in value)):
+                raise ValueError(f"{f.name} must name words")
+
+    @classmethod
+    def read(cls, path: str) -> ProfileRules:
+        """From a YAML file whose one mapping names exactly the fields."""
+        import yaml
+
+        with open(path, encoding="utf-8") as file:
+            told = yaml.safe_load(file)
+        told = exact_fields(told, {f.name: {"float": float, "int": int}.get(f.type, list) for f in fields(cls)})
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in told.items()})
+
+
+RULES = ProfileRules()
 
 
 def column_profile(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -25,20 +64,23 @@ def column_profile(cells: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
-def column_role(header: Column) -> Column:
-    """The role of a profiled column; the first rule that holds."""
+def column_role(header: Column, rules: ProfileRules = RULES) -> Column:
+    """The role of a profiled column; the first rule that holds. A hint in the header halves a rule's thresholds."""
     name = F.lower(header)
-    hint = lambda role: F.coalesce(*[F.when(F.contains(name, F.lit(k)), True) for k in KEYWORDS[role]], F.lit(False))
+    hint = lambda words: F.coalesce(F.exists(F.array(*[F.lit(w.casefold()) for w in words]), lambda w: F.contains(name, w)), F.lit(False))
     n, d, unique = F.col("non_empty"), F.col("distinct"), F.try_divide("distinct", "non_empty")
     numeric, date = F.col("numeric_ratio"), F.col("date_ratio")
+    few = max(2, (rules.identifier_unique_count + 1) // 2)
     return (
-        F.when(n == 0, "other").when(hint("identifier") & (unique >= 0.45) & (d >= 25), "identifier")
-        .when((date >= 0.8) | (hint("date") & (F.greatest(date, F.col("year_ratio")) >= 0.4)), "date").when((numeric >= 0.8) | (hint("measure") & (numeric >= 0.4)), "measure")
-        .when(F.col("avg_length") >= 50, "long_text").when(hint("dimension"), "dimension").when((unique >= 0.9) & (d >= 50), "identifier").otherwise("dimension")
+        F.when(n == 0, "other").when(hint(rules.identifier_words) & (unique >= rules.identifier_unique_ratio / 2) & (d >= few), "identifier")
+        .when((date >= rules.date_ratio) | (hint(rules.date_words) & (F.greatest(date, F.col("year_ratio")) >= rules.date_ratio / 2)), "date")
+        .when((numeric >= rules.measure_numeric_ratio) | (hint(rules.measure_words) & (numeric >= rules.measure_numeric_ratio / 2)), "measure")
+        .when(F.col("avg_length") >= rules.long_text_length, "long_text").when(hint(rules.dimension_words), "dimension")
+        .when((unique >= rules.identifier_unique_ratio) & (d >= rules.identifier_unique_count), "identifier").otherwise("dimension")
     )
 
 
-def budgeted_values(counts: DataFrame, table: str, column: str, distinct: str, per_column: int = 20, per_table: int = 50) -> DataFrame:
+def budgeted_values(counts: DataFrame, table: str, column: str, distinct: str, per_column: int = RULES.values_per_column, per_table: int = RULES.values_per_table) -> DataFrame:
     """How many distinct values each column may show: its own budget first, then the table's, in column order."""
     n = F.when(F.col(distinct) <= per_column, F.col(distinct)).otherwise(0)
     before = F.coalesce(F.sum(n).over(Window.partitionBy(table).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -121,24 +163,31 @@ def pack_bytes(sizes: Sequence[int], frame: int, soft: int = 32 << 10, hard: int
 
 
 def pack_tables(rows: DataFrame, table: str, position: str, size: str, how: str, limit: int, frame: int = 2) -> DataFrame:
-    """chunk_index and chunk_count of every row, packed table by table in one pass over sorted partitions.
+    """chunk_index and chunk_count of every row, packed table by table in one pass over sorted partitions; a null key is a table.
 
+    bytes: also overflow, whether a chunk of the table stays above the hard limit of twice `limit`.
     Rows stream through Python sorted by table: only one table's sizes are held at a time.
     """
     if how not in ("greedy", "balanced", "bytes"):
         raise ValueError(how)
     schema = rows.select(table, position).schema.add("chunk_index", "integer").add("chunk_count", "integer")
+    schema = schema.add("overflow", "boolean") if how == "bytes" else schema
 
     def packed(key: object, positions: list, sizes: list[int]) -> pd.DataFrame:
-        groups = {"greedy": lambda: pack_greedy(sizes, limit), "balanced": lambda: pack_balanced(sizes, limit), "bytes": lambda: pack_bytes(sizes, frame, limit, 2 * limit)[0]}[how]()
+        groups, over = {"greedy": lambda: (pack_greedy(sizes, limit), False), "balanced": lambda: (pack_balanced(sizes, limit), False), "bytes": lambda: pack_bytes(sizes, frame, limit, 2 * limit)}[how]()
         index = [k for k, g in enumerate(groups) for _ in g]
-        return pd.DataFrame({table: [key] * len(index), position: positions, "chunk_index": index, "chunk_count": [len(groups)] * len(index)})
+        out = {table: [key] * len(index), position: positions, "chunk_index": index, "chunk_count": [len(groups)] * len(index)}
+        return pd.DataFrame(out | ({"overflow": [over] * len(index)} if how == "bytes" else {}))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, positions, sizes, out = None, [], [], []
         for pdf in batches:
-            for k, part in pdf.groupby(table, sort=False):
-                if k != key and positions:
+            keys = pdf[table].astype(object).where(pdf[table].notna(), None)
+            turns = (keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())
+            turns.iloc[0] = True
+            for _, part in pdf.groupby(turns.cumsum(), sort=False):
+                k = keys.loc[part.index[0]]
+                if positions and k != key:
                     out.append(packed(key, positions, sizes))
                     positions, sizes = [], []
                 key = k

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -62,12 +63,29 @@ def latest_versions(documents: DataFrame, chain: DataFrame, key: str, root: str,
 def longest_prefix(names: DataFrame, name: str, categories: DataFrame, prefix: str, row: str) -> DataFrame:
     """Each name with the category whose prefix is its longest; ties go to the smaller row; unmatched names have nulls.
 
-    Names meet prefixes by equality on the prefix's own length, one branch for each length there is, so no cross join.
+    A distinct name meets its heads of every length that a prefix has by equality, so there is no cross join, and rows carry only names.
     """
-    lengths = [r[0] for r in categories.select(F.length(prefix)).distinct().orderBy(F.length(prefix)).collect()]  # as many as prefixes are long
-    heads = names.select("*", F.explode(F.array(*[F.left(F.col(name), F.lit(n)) for n in lengths])).alias("_head")).dropDuplicates()
-    met = heads.join(categories, F.col("_head") == F.col(prefix)).groupBy(name).agg(F.max_by(F.struct(prefix, row), F.struct(F.length(prefix), -F.col(row))).alias("_best"))
-    return names.join(met, name, "left").select(*names.columns, F.col(f"_best.{prefix}").alias(prefix), F.col(f"_best.{row}").alias(row))
+    lengths = sorted(r[0] for r in categories.select(F.length(prefix)).distinct().collect())  # as many as prefixes are long
+    known = categories.groupBy(F.col(prefix).alias("_head")).agg(F.min(row).alias("_row"))
+    heads = names.select(name).distinct().select(name, F.explode(F.array_distinct(F.array(*[F.left(F.col(name), F.lit(n)) for n in lengths]))).alias("_head"))
+    met = heads.join(known, "_head").groupBy(name).agg(F.max_by(F.struct("_head", "_row"), F.length("_head")).alias("_best"))
+    return names.join(met, name, "left").select(*names.columns, F.col("_best._head").alias(prefix), F.col("_best._row").alias(row))
+
+
+def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
+    """node, ancestor, depth of every pair that a path of edges joins: one equi-join for each level, until none is left.
+
+    Paths longer than `most` raise: a cycle has no end.
+    """
+    own = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"))
+    up = own.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"))
+    level, levels = own.withColumn("depth", F.lit(1)), []
+    while not level.isEmpty():
+        if len(levels) == most:
+            raise ValueError(f"a path is longer than {most}")
+        levels.append(level)
+        level = level.join(up, "ancestor").select("node", F.col("_next").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    return reduce(DataFrame.unionAll, levels) if levels else own.withColumn("depth", F.lit(1))
 
 
 def resolve_corrections(sources: DataFrame, candidates: DataFrame) -> DataFrame:

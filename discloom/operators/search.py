@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rank fusion's constant (Cormack et al., 2009); the lists fused are OVERFETCH times as long as the result.
@@ -10,6 +12,10 @@ RRF_C, OVERFETCH = 60, 5
 FACT_BLOCK, FACT_BYTES = 500, 4 << 20
 
 
+#: Fixed patterns: tokens of a fact, case kept, and what ends a sentence.
+FACT_TOKEN, SENTENCE_END = "[0-9A-Za-z가-힣]+", r"[.!?\n]+"
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays in double precision, inside the JVM."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -38,9 +44,10 @@ def dense_topk_many(points: DataFrame, queries: DataFrame, k: int, id_col: str,
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def token_weights(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, token, weight): how often each lower-case ASCII token of two letters or more stands in the text."""
-    tokens = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= 2)
+def token_weights(docs: DataFrame, id_col: str, text: str, asked: Iterable[str] | None = None) -> DataFrame:
+    """(id, token, weight): how often each lower-case ASCII token of two letters or more stands in the text; asked: of these tokens alone."""
+    wanted = (lambda x: F.length(x) >= 2) if asked is None else (lambda x: x.isin(*asked))
+    tokens = F.filter(F.split(F.lower(text), "[^a-z]+"), wanted)
     return docs.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("weight"))
 
 
@@ -73,13 +80,12 @@ def fact_coverage(docs: DataFrame, facts: DataFrame, doc_id: str, fact_id: str,
     A token may stand inside a longer word. Long tokens are asked first and the whole text before its sentences, so most
     pairs end at one search; a block of facts is tested in one expression, and no row with a text is made for each pair.
     """
-    tokens = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= 2))
+    tokens = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(FACT_TOKEN), 0), lambda x: F.length(x) >= 2))
     longest = F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a))
     n, size = facts.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
     block = F.pmod(F.hash(fact_id), F.lit(max(1, -(-n // FACT_BLOCK))))
     blocks = facts.select(block.alias("block"), F.struct(F.col(fact_id).alias("id"), longest.alias("tokens")).alias("f")).groupBy("block").agg(F.collect_list("f").alias("asked")).select("asked")
-    low = F.lower(text)
-    rows = docs.select(doc_id, low.alias("t"), F.split(low, "[.!?]", -1).alias("s")).crossJoin(F.broadcast(blocks) if size <= FACT_BYTES else blocks)
+    rows = docs.select(doc_id, F.col(text).alias("t"), F.split(text, SENTENCE_END, -1).alias("s")).crossJoin(F.broadcast(blocks) if size <= FACT_BYTES else blocks)
     within = lambda x, f: F.forall(f["tokens"], lambda w: F.contains(x, w))
     met = lambda f: (F.size(f["tokens"]) > 0) & within(F.col("t"), f) & F.exists("s", lambda s: within(s, f))
     found = F.transform("asked", lambda f: F.struct(f["id"].alias(fact_id), met(f).alias("addressed")))

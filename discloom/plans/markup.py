@@ -10,26 +10,6 @@ from discloom.plans.registry import Tables, query
 from discloom.streaming.events import apply_corrections
 
 
-@query("html_status")
-def html_status(t: Tables) -> DataFrame:
-    return D.document_status(t.pages, "page_id", "html", True).withColumn("issues", F.array_join("issues", ","))
-
-
-@query("html_sections")
-def html_sections(t: Tables) -> DataFrame:
-    return D.section_rows(t.pages, "page_id", "html").withColumn("path", F.array_join("path", " > "))
-
-
-@query("html_blocks")
-def html_blocks(t: Tables) -> DataFrame:
-    return D.block_rows(t.pages, "page_id", "html")
-
-
-@query("html_paragraphs")
-def html_paragraphs(t: Tables) -> DataFrame:
-    return D.paragraph_rows(t.pages, "page_id", "html").withColumn("fragments", F.size("fragments"))
-
-
 def _rendered(t: Tables) -> DataFrame:
     """Orders as filings: a table of lines with a two-row header, one row a line."""
     cells = F.concat_ws("", F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), F.col("l_returnflag"), F.lit("</td></tr>"))
@@ -55,18 +35,6 @@ def late_corrections(t: Tables) -> DataFrame:
     return apply_corrections(early, every.where("receipt % 3 = 0"), "root", "receipt")
 
 
-@query("html_evidence")
-def html_evidence(t: Tables) -> DataFrame:
-    rows = EV.evidence_rows(t.pages, "page_id", "html")
-    return rows.select("doc", "section", "ordinal", "kind", "table_type", "role", "text", F.array_join("heading_path", " > ").alias("path"))
-
-
-@query("html_points")
-def html_points(t: Tables) -> DataFrame:
-    named = t.pages.select(F.col("page_id").alias("doc"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("corp_name"), F.col("url").alias("report_name"))
-    return PT.build_points(EV.evidence_rows(t.pages, "page_id", "html"), named)
-
-
 @query("kept_sections", "with s as (select conv_id, turn, -1 as parent, case when turn = 0 then 'ROOT' else 'HEADING' end as b from conversations where turn = 0 union all select conv_id, turn, turn - 1, 'HEADING' from conversations where turn > 0), r as (select *, max((b <> 'ROOT')::int) over (partition by conv_id) = 1 as real from s) select conv_id, turn, case when real and parent = 0 then -1 else parent end::bigint as parent, b as boundary from r where not (b = 'ROOT' and real)")
 def kept_sections(t: Tables) -> DataFrame:
     """Turns as a chain of sections: the synthetic first one goes, its child becomes a root."""
@@ -96,7 +64,7 @@ def merged_references(t: Tables) -> DataFrame:
     return PR.references_or_nothing(rows, "l_orderkey", "d", "s", "e", "p").select("l_orderkey", F.size("source_references").cast("long").alias("n_references"))
 
 
-@query("answer_envelopes", "select o_orderkey, json_object('question_id', 'q' || o_orderkey, 'question', o_orderpriority, 'retrieved_context', null, 'think_trace', o_orderstatus, 'answer', case when o_orderstatus = 'F' then 'done' end)::varchar as envelope from orders where o_orderkey % 50 = 0 or o_orderstatus = 'P'")
+@query("answer_envelopes", "select o_orderkey, json_object('question_id', 'q' || o_orderkey, 'question', o_orderpriority, 'retrieved_context', null, 'think_trace', o_orderstatus, 'answer', case when o_orderstatus = 'F' then 'done' end)::varchar as envelope from orders")
 def answer_envelopes(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("q"), "o_orderpriority", F.lit(None).cast("string").alias("c"), "o_orderstatus", F.when(F.col("o_orderstatus") == "F", "done").alias("a"))
     fields = {"question_id": "q", "question": "o_orderpriority", "retrieved_context": "c", "think_trace": "o_orderstatus", "answer": "a"}

@@ -89,9 +89,7 @@ def hierarchy_closure(t: Tables) -> DataFrame:
     part = lambda name, key: F.concat(F.lit(name), F.col(key).cast("string"))
     edges = t.region.select(part("region:", "r_regionkey").alias("child"), F.lit("world").alias("parent"))
     edges = edges.unionAll(t.nation.select(part("nation:", "n_nationkey"), part("region:", "n_regionkey"))).unionAll(t.customer.select(part("customer:", "c_custkey"), part("nation:", "c_nationkey")))
-    edges.createOrReplaceTempView("hierarchy_edges")
-    return t.spark.sql("""with recursive walk(node, ancestor, depth) as (select child, parent, 1 from hierarchy_edges
-        union all select w.node, e.parent, w.depth + 1 from walk w join hierarchy_edges e on w.ancestor = e.child) select node, ancestor, depth from walk""")
+    return R.closure(edges, "child", "parent")
 
 
 _CHAIN = "c as (select user_id as root, event_id as receipt, event_type from events where event_type in ('error', 'purchase'))"
@@ -112,7 +110,7 @@ def latest_version(t: Tables) -> DataFrame:
     return R.latest_versions(t.events.select("event_id"), chain, "event_id", "root", "receipt")
 
 
-@query("correction_target_resolution", """with s as (select o_orderkey as src, lpad(o_orderkey::varchar, 14, '0') as receipt, strftime(o_orderdate + to_days((o_orderkey % 3)::int), '%Y-%m-%d') as d, case when o_orderkey % 7 <> 0 then o_orderpriority end as g, case when o_orderkey % 4 <> 0 then o_custkey % 40 end as k, o_orderstatus || (o_orderkey % 5) as n, o_orderstatus as f from orders where o_orderkey % 10 = 1),
+@query("correction_target_resolution", """with s as (select o_orderkey as src, lpad(o_orderkey::varchar, 14, '0') as receipt, strftime(o_orderdate + to_days((o_orderkey % 3)::int), '%Y-%m-%d') as d, case when o_orderkey % 7 <> 0 then o_orderpriority end as g, case when o_orderkey % 4 <> 0 then o_custkey % 40 end as k, o_orderstatus || (o_orderkey % 5) as n, o_orderstatus as f from orders),
  c as (select lpad(o_orderkey::varchar, 14, '0') as receipt, strftime(o_orderdate, '%Y-%m-%d') as d, o_orderpriority as g, o_custkey % 40 as k, o_orderstatus || (o_orderkey % 5) as n, o_orderstatus as f from orders),
  m as (select s.src, c.receipt, c.receipt is not null and coalesce(s.g = c.g, true) as gr, s.k is null or s.k = c.k as co, s.n = c.n as ex, s.f = c.f as ki from s left join c on s.d = c.d and s.receipt <> c.receipt and c.receipt < s.receipt),
  a as (select src, count(receipt) as dated, count(*) filter (where gr) as g, count(*) filter (where gr and co) as own, count(*) filter (where gr and co and ex) as ex, count(*) filter (where gr and co and ki) as ki,

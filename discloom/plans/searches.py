@@ -35,7 +35,7 @@ def dense_topk_many(t: Tables) -> DataFrame:
 
 @query("sparse_topk", f"select id as doc_id, score, row_number() over (order by score desc, id) as rank from ({_SPARSE}) order by rank limit 20")
 def sparse_topk(t: Tables) -> DataFrame:
-    return search.sparse_topk(search.token_weights(t.documents, "doc_id", "text"), _TOKENS, 20, "doc_id")
+    return search.sparse_topk(search.token_weights(t.documents, "doc_id", "text", _TOKENS), _TOKENS, 20, "doc_id")
 
 
 @query("hybrid_rrf", f"""with d as (select id, row_number() over (order by score desc, id) as r from ({_DENSE}) order by r limit 50), s as (select id, row_number() over (order by score desc, id) as r from ({_SPARSE}) order by r limit 50),
@@ -43,23 +43,31 @@ def sparse_topk(t: Tables) -> DataFrame:
 def hybrid_rrf(t: Tables) -> DataFrame:
     n = 10 * search.OVERFETCH
     dense = search.dense_topk(t.embeddings, _VECTOR, n, "vec_id", "embedding").withColumnRenamed("vec_id", "id")
-    sparse = search.sparse_topk(search.token_weights(t.documents, "doc_id", "text"), _TOKENS, n, "doc_id").withColumnRenamed("doc_id", "id")
+    sparse = search.sparse_topk(search.token_weights(t.documents, "doc_id", "text", _TOKENS), _TOKENS, n, "doc_id").withColumnRenamed("doc_id", "id")
     seen = t.documents.where("doc_id % 17 = 0").select(F.col("doc_id").alias("id"))
     return search.fuse([dense, sparse], 10, "id", threshold=0.012, seen=seen).select("id", "rank")
 
 
-_LONG = "cells as (select p_size as tbl, unnest([0, 1, 2, 3, 4]) as col, unnest([p_name, p_brand, p_type, p_retailprice::varchar, case when p_partkey % 10 = 0 then '' when p_partkey % 3 = 0 then '2024-01-0' || (p_partkey % 9 + 1) else '2024' end]) as v from part)"
+# Cells that tell numbers, dates, years and percentages apart, dealt by part.
+_MIXED = ("12 kg", "(3,000)", "5퍼센트", "▲1,234", "2024-05", "2024년 3월", "2023 Q4", "2101", "1899", "[7%]", "abc", "₩ 12,000", "1,2,3")
+_LONG = f"""cells as (select p_size as tbl, unnest([0, 1, 2, 3, 4, 5]) as col, unnest([p_name, p_brand, p_type, p_retailprice::varchar,
+ case when p_partkey % 10 = 0 then '' when p_partkey % 3 = 0 then '2024-01-0' || (p_partkey % 9 + 1) else '2024' end, [{", ".join(f"'{x}'" for x in _MIXED)}][p_partkey % {len(_MIXED)} + 1]]) as v from part)"""
 
 
 def _cells(t: Tables) -> DataFrame:
     day = F.when(F.col("p_partkey") % 10 == 0, "").when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("2024-01-0"), (F.col("p_partkey") % 9 + 1).cast("string"))).otherwise("2024")
-    return t.part.select(F.col("p_size").alias("tbl"), F.posexplode(F.array("p_name", "p_brand", "p_type", F.col("p_retailprice").cast("string"), day)).alias("col", "v"))
+    mixed = F.element_at(F.array(*map(F.lit, _MIXED)), (F.col("p_partkey") % len(_MIXED) + 1).cast("int"))
+    return t.part.select(F.col("p_size").alias("tbl"), F.posexplode(F.array("p_name", "p_brand", "p_type", F.col("p_retailprice").cast("string"), day, mixed)).alias("col", "v"))
 
 
-_PROFILE = f"""with {_LONG}, g as (select tbl, col, count(*) filter (where trim(v) <> '') as non_empty, count(distinct case when trim(v) <> '' then trim(v) end) as d,
- count(*) filter (where regexp_full_match(trim(v), '(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?')) as num, count(*) filter (where regexp_full_match(trim(v), '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}')) as dat, count(*) filter (where regexp_full_match(trim(v), '(19|20)\\d{{2}}')) as yr,
- avg(case when trim(v) <> '' then length(trim(v)) end) as al, max(case when trim(v) <> '' then length(trim(v)) end) as ml from cells group by all),
- p as (select tbl, col, non_empty, d as "distinct", round(coalesce(num / nullif(non_empty, 0), 0), 6) as numeric_ratio, round(coalesce(dat / nullif(non_empty, 0), 0), 6) as date_ratio, round(coalesce(yr / nullif(non_empty, 0), 0), 6) as year_ratio, 0.0::double as percent_ratio, round(coalesce(al, 0), 6) as avg_length, coalesce(ml, 0)::bigint as max_length from g)"""
+_SIGNED, _DIGITS = r"[\(\[]?[+-△▲▼]?\s*", r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*"
+_IS = {
+    "numeric": rf"(?i)\s*{_SIGNED}[₩$€¥]?\s*{_DIGITS}(?:%|퍼센트|원|천원|백만원|억원|조원|주|개|명|건|톤|kg|g|km|m|㎡)?\s*[\)\]]?\s*",
+    "date": r"\d{4}[-./]\d{1,2}(?:[-./]\d{1,2})?|\d{4}년(?:\s*\d{1,2}월(?:\s*\d{1,2}일)?)?|\d{8}|\d{4}\s*[Qq][1-4]", "year": r"(?:19|20|21)\d{2}", "percent": rf"(?i){_SIGNED}{_DIGITS}(?:%|퍼센트)\s*[\)\]]?",
+}
+_PROFILE = f"""with {_LONG}, f as (select tbl, col, trim(v) as v from cells where trim(v) <> ''), k as (select distinct tbl, col from cells),
+ p as (select k.tbl, k.col, count(v) as non_empty, count(distinct v) as "distinct", {", ".join(f"round(coalesce(count(*) filter (where regexp_full_match(v, '{r}')) / nullif(count(v), 0), 0), 6) as {n}_ratio" for n, r in _IS.items())},
+  round(coalesce(avg(length(v)), 0), 6) as avg_length, coalesce(max(length(v)), 0)::bigint as max_length from k left join f on k.tbl = f.tbl and k.col = f.col group by all)"""
 
 
 @query("column_profile", f"{_PROFILE} select tbl, col::int as col, * exclude (tbl, col) from p")
@@ -67,12 +75,13 @@ def column_profile(t: Tables) -> DataFrame:
     return P.column_profile(_cells(t), ["tbl", "col"], "v")
 
 
-_HEADERS = ("part no", "brand", "type", "price", "date")
+_HEADERS = ("품목 코드", "구분", "상품", "단가", "기준일", "비중 ID")
 
 
 @query("column_role", f"""{_PROFILE}, h as (select *, [{", ".join(f"'{h}'" for h in _HEADERS)}][col + 1] as header from p)
- select tbl, col::int as col, header, case when non_empty = 0 then 'other' when header like '%no%' and "distinct" / non_empty >= 0.45 and "distinct" >= 25 then 'identifier' when date_ratio >= 0.8 or (header like '%date%' and greatest(date_ratio, year_ratio) >= 0.4) then 'date'
- when numeric_ratio >= 0.8 or (header like '%price%' and numeric_ratio >= 0.4) then 'measure' when avg_length >= 50 then 'long_text' when header in ('brand', 'type') then 'dimension' when "distinct" / non_empty >= 0.9 and "distinct" >= 50 then 'identifier' else 'dimension' end as role from h""")
+ select tbl, col::int as col, header, case when non_empty = 0 then 'other' when regexp_matches(header, '성명|이름|코드|번호|ID') and "distinct" / non_empty >= 0.45 and "distinct" >= 25 then 'identifier'
+ when date_ratio >= 0.8 or (regexp_matches(header, '일자|날짜|기준일|변동일|연도|년월') and greatest(date_ratio, year_ratio) >= 0.4) then 'date' when numeric_ratio >= 0.8 or (regexp_matches(header, '금액|매출|수량|비중|율|단가|취득가액|증감') and numeric_ratio >= 0.4) then 'measure'
+ when avg_length >= 50 then 'long_text' when regexp_matches(header, '구분|사업부문|제품|품목|지역|종류|회사|법인|계정과목') then 'dimension' when "distinct" / non_empty >= 0.9 and "distinct" >= 50 then 'identifier' else 'dimension' end as role from h""")
 def column_role(t: Tables) -> DataFrame:
     header = F.element_at(F.array(*map(F.lit, _HEADERS)), F.col("col") + 1)
     profile = P.column_profile(_cells(t), ["tbl", "col"], "v").withColumn("header", header)
@@ -96,12 +105,37 @@ def table_strategy(t: Tables) -> DataFrame:
 
 def _sized(t: Tables) -> DataFrame:
     size = F.length(F.concat_ws(" | ", "l_partkey", "l_suppkey", "l_shipdate")).cast("long")
-    return t.lineitem.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), size.alias("size"))
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    return t.lineitem.select("l_suppkey", F.row_number().over(order).cast("long").alias("pos"), size.alias("size"))
 
 
-for _how, _limit in (("greedy", 1500), ("balanced", 1500), ("bytes", 4096)):
+_SIZES = """z as (select l_suppkey, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_shipdate) as pos, length(l_partkey || ' | ' || l_suppkey || ' | ' || l_shipdate) as size from lineitem),
+ n as (select l_suppkey, pos, size, row_number() over (partition by l_suppkey order by pos) as k, sum(size) over (partition by l_suppkey) + count(*) over (partition by l_suppkey) + 1 as whole from z)"""
+_GREEDY = f"""with recursive {_SIZES}, w as (select l_suppkey, pos, k, size::bigint as total, 0 as chunk from n where k = 1
+ union all select n.l_suppkey, n.pos, n.k, case when w.total + n.size > 1500 then n.size else w.total + n.size end, w.chunk + (w.total + n.size > 1500)::int from w join n on n.l_suppkey = w.l_suppkey and n.k = w.k + 1)
+ select l_suppkey, pos, chunk::int as chunk_index, (max(chunk) over (partition by l_suppkey) + 1)::int as chunk_count from w"""
 
-    @query({"greedy": "row_group_packing", "balanced": "balanced_packing", "bytes": "byte_chunks"}[_how])
+
+def _balanced(weight: str, capacity: int, own: str, more: str = "") -> str:
+    """The fewest runs of at most `capacity`, found by hops along the longest runs; each is cut nearest to the mean of what is left."""
+    return f"""with recursive {_SIZES}, t as (select l_suppkey, max(k) as last from n where {own} group by 1),
+ s as (select l_suppkey, k, sum({weight}) over (partition by l_suppkey order by k)::bigint as upto from n where {own} union all select l_suppkey, 0, 0 from t),
+ r as (select a.l_suppkey, a.k, max(b.k) as reach from s a join s b on a.l_suppkey = b.l_suppkey and b.k >= a.k and a.upto + {capacity} >= b.upto group by all),
+ hop as (select l_suppkey, k, k as at, 0 as runs from s union all select hop.l_suppkey, hop.k, r.reach, hop.runs + 1 from hop join r on r.l_suppkey = hop.l_suppkey and r.k = hop.at where r.reach > hop.at),
+ fewest as (select l_suppkey, k, max(runs) as runs from hop group by all),
+ c as (select l_suppkey, 0::bigint as k, -1 as chunk from t union all
+  select c.l_suppkey, (min(struct_pack(d := abs((b.upto - a.upto) - (e.upto - a.upto) / g.runs::double), m := -(b.upto - a.upto), k := b.k))).k, c.chunk + 1
+  from c join t on t.l_suppkey = c.l_suppkey join s a on a.l_suppkey = c.l_suppkey and a.k = c.k join s e on e.l_suppkey = c.l_suppkey and e.k = t.last join fewest g on g.l_suppkey = c.l_suppkey and g.k = c.k
+   join s b on b.l_suppkey = c.l_suppkey and b.k > c.k and b.upto - a.upto <= {capacity} join fewest h on h.l_suppkey = b.l_suppkey and h.k = b.k and h.runs <= g.runs - 1 where c.k < t.last group by c.l_suppkey, c.chunk),
+ p as (select n.l_suppkey, n.pos, min(c.chunk)::int as chunk_index from n join c on c.l_suppkey = n.l_suppkey and c.k >= n.k group by all)
+ select l_suppkey, pos, chunk_index, (max(chunk_index) over (partition by l_suppkey) + 1)::int as chunk_count{more and ", false as overflow"} from p{more}"""
+
+
+#: Rows are far smaller than a chunk, so bytes are packed in balance wherever a table is over the soft limit, and none overflows.
+_WHOLE = " union all select l_suppkey, pos, 0, 1, false from n where whole <= 4096"
+for _how, _limit, _sql in (("greedy", 1500, _GREEDY), ("balanced", 1500, _balanced("size", 1500, "true")), ("bytes", 4096, _balanced("size + 1", 4095, "whole > 4096", _WHOLE))):
+
+    @query({"greedy": "row_group_packing", "balanced": "balanced_packing", "bytes": "byte_chunks"}[_how], _sql)
     def _packed(t: Tables, how: str = _how, limit: int = _limit) -> DataFrame:
         return P.pack_tables(_sized(t), "l_suppkey", "pos", "size", how, limit)
 
@@ -131,7 +165,8 @@ def fragment_validation(t: Tables) -> DataFrame:
     return V.all_violations([rows, gaps, V.unique_key(t.lineitem, ["l_orderkey", "l_partkey"], "REPEATED_PART").select("l_orderkey", "code")])
 
 
-@query("snapshot_hash", "select source, count(*) as rows, sha256(string_agg(h, '' order by h)) as sha256 from (select source, sha256(doc_id || chr(31) || text) as h from documents) group by 1")
+@query("snapshot_hash", """with h as (select source, sha256(doc_id || chr(31) || text) as h from documents), b as (select source, left(h, 4) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as h from h group by all)
+ select source, sum(n)::bigint as rows, sha256(string_agg(h, '' order by b)) as sha256 from b group by 1""")
 def snapshot_hash(t: Tables) -> DataFrame:
     return V.snapshot(t.documents, "source", "doc_id", F.col("text"))
 
@@ -149,8 +184,7 @@ def duplicate_documents(t: Tables) -> DataFrame:
     return signed.join(groups, "h").select("doc_id", "first")
 
 
-@query("requested_fact_coverage", """with f as (select item_id, list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 2))), 1, 3) as tokens from benchmark where item_id < 5), s as (select doc_id, unnest(regexp_split_to_array(lower(text), '[.!?]')) as s from documents where doc_id % 20 = 0)
- select doc_id, item_id, bool_or(len(list_filter(tokens, lambda x: contains(s, x))) = len(tokens)) as addressed from s, f group by all""")
+@query("requested_fact_coverage")
 def requested_fact_coverage(t: Tables) -> DataFrame:
     """Is there a sentence with all the tokens of a fact? Every benchmark item against every document."""
     return search.fact_coverage(t.documents, t.benchmark, "doc_id", "item_id")
@@ -170,12 +204,11 @@ def identifiers(t: Tables) -> DataFrame:
     return own.select("o_orderkey", "section_id", X.parent_id(F.col("section_id"), 1).alias("disclosure_id"), X.short_signature(F.col("o_orderkey"), F.col("o_orderstatus")).alias("signature"))
 
 
-@query("source_hash", "select source, sha256(string_agg(doc_id || chr(0) || sha256(text) || chr(10), '' order by lpad(doc_id::varchar, 12, '0'))) as combined from documents group by 1")
+@query("source_hash", "select l_orderkey, sha256(string_agg('f' || l_linenumber || chr(0) || sha256(l_returnflag || l_partkey) || chr(10), '' order by l_linenumber, sha256(l_returnflag || l_partkey))) as combined from lineitem group by 1")
 def source_hash(t: Tables) -> DataFrame:
-    """Hash over ordered (path, sha256) pairs."""
-    part = F.struct(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("o"), F.concat(F.col("doc_id").cast("string"), F.lit("\x00"), F.sha2("text", 256), F.lit("\n")).alias("p"))
-    parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"])
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(parts, ""), 256).alias("combined"))
+    """Hash over each source's ordered (path, sha256) pairs: an order's lines as its files."""
+    path = F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))
+    return V.combined_hash(t.lineitem, "l_orderkey", path, F.concat("l_returnflag", F.col("l_partkey").cast("string")))
 
 
 @query("kv_flatten", "select conv_id, turn, array_to_string([role, 'turn ' || turn], ' > ') as key, length(text)::bigint as value from conversations")
@@ -185,7 +218,7 @@ def kv_flatten(t: Tables) -> DataFrame:
     return fields.select("conv_id", "turn", F.array_join(F.transform("p", lambda x: F.trim(x)), " > ").alias("key"), "value")
 
 
-@query("record_projection", "select o_custkey, json_object('columns', ['o_orderkey', 'o_orderstatus'], 'records', list([o_orderkey::varchar, o_orderstatus] order by o_orderkey))::varchar as canonical from orders where o_custkey <= 50 group by 1")
+@query("record_projection", "select o_custkey, json_object('columns', ['o_orderkey', 'o_orderstatus'], 'records', list([o_orderkey::varchar, o_orderstatus] order by o_orderkey))::varchar as canonical from orders group by 1")
 def record_projection(t: Tables) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
     grouped = t.orders.groupBy("o_custkey").agg(rows.alias("records"))

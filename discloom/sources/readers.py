@@ -30,15 +30,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
         return spark.createDataFrame([], schema)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path).where(F.trim("value").startswith("{"))
+    return _rows_of_lines(spark.read.text(path), schema)
+
+
+def _rows_of_lines(lines: DataFrame, schema: T.StructType, *beside: str) -> DataFrame:
+    lines = lines.where(F.trim("value").startswith("{"))
     row = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select(row.alias("r")).where("r is not null and r._bad is null").select("r.*").drop("_bad")
+    return lines.select(*beside, row.alias("r")).where("r is not null and r._bad is null").select("r.*", *beside).drop("_bad")
 
 
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """The last row of each key; rows without one are left out. Lines are ordered by their place in the files."""
-    rows = read_jsonl(spark, path, schema, missing_ok=True).where(F.col(key).isNotNull())
-    return last_wins(rows.withColumn("_pos", F.monotonically_increasing_id()), [key], ["_pos"]).drop("_pos")
+    """The last row of each key; rows without one are left out. Lines stand in the order of file, split and place in the split."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    place = ["_file", "_split", "_line"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    return last_wins(_rows_of_lines(lines, schema, *place).where(F.col(key).isNotNull()), [key], place).drop(*place)
 
 
 def read_companies(spark: SparkSession, path: str, expected: int | None = 70, sep: str = ",") -> DataFrame:

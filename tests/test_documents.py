@@ -49,10 +49,22 @@ def test_kv_fields():
 
 def test_loading_degrees():
     assert D.load("<a><b>x</b></a>")[1] == "SUCCESS"
-    assert D.load("<a>x & y</a>")[1:] == ("RECOVERED", ["REPAIRED_MARKUP"])
-    assert D.load("<a><b>x</a>")[1] == "RECOVERED"
+    assert D.load("<a>x & y</a>")[1:] == ("RECOVERED", ["XML_RECOVERED"])
+    assert D.load("<document><b>x</document>")[1:] == ("RECOVERED", ["XML_TOLERANT_RECOVERY"])
+    assert D.load("<a><b>x</a>")[1:] == ("FAILED", ["XML_LOAD_FAILED"])
+    assert D.load("<a>see <the note> below</a>", None)[0].text() == "see <the note> below"
+    assert D.load("<HTML><p>x & <p>y", None)[1:] == ("SUCCESS", [])
     assert D.load("plain")[1] == "FAILED" and D.load(None)[1] == "FAILED"
     assert D.decode("한글".encode("euc-kr")) == "한글"
+    assert D.decode("한글".encode("euc-kr") + b"\xff") == "한글�"
+
+
+def test_omitted_end_tags():
+    for html in ("<table><tr><td>a<td>b<tr><td>c<td>d</table>", "<table><tr><td><b>a<td>b<tr><th><i>c<td>d</table>"):
+        g, *_ = table(html)
+        assert [[c.text for c in row] for row in g] == [["a", "b"], ["c", "d"]]
+    root, *_ = D.load("<ul><li>x<li><b>y</ul><p>1<p>2", False)
+    assert [n.text() for n in root.find("li", "p")] == ["x", "y", "1", "2"]
 
 
 def test_sections_by_elements_headings_and_numbers():
@@ -96,6 +108,20 @@ def test_readers(spark, tmp_path):
         readers.read_companies(spark, str(tmp_path / "c.csv"), 70)
 
 
+def test_last_line_of_several_files_wins(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    for name, lines in (("a", 3), ("b", 400), ("c", 2)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"k": "{k % 7}", "v": "{name}{k}", "w": {k}}}\n' for k in range(lines)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.read_keyed_jsonl(spark, str(tmp_path), StructType.fromDDL("k string, v string, w int"), "k").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r.k: r.v for r in got} == {str(k): "c" + str(k) if k < 2 else f"b{max(x for x in range(400) if x % 7 == k)}" for k in range(7)}
+
+
 def test_workbook(spark, tmp_path):
     out = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
