@@ -57,11 +57,16 @@ def document_family(x: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(key, F.lit(f)), F.lit(f)) for f in FAMILIES], key)
 
 
+#: Fixed patterns: a day written with marks between its parts, and one of eight digits.
+MARKED_DATE = r"(20\d{2})\s*(?:년|[-./])\s*(\d{1,2})\s*(?:월|[-./])\s*(\d{1,2})\s*일?"
+COMPACT_DATE = r"(?<!\d)(20\d{6})(?!\d)"
+
+
 def find_date(x: Column) -> Column:
-    """The first date in the text (2024년 3월 5일, 2024-03-05, 2024.3.5, 20240305); null where no such day exists."""
-    pattern = r"((?:19|20)\d{2})\s*(?:년|[-./])?\s*(\d{1,2})\s*(?:월|[-./])?\s*(\d{1,2})"
-    parts = [F.regexp_extract(x, pattern, k) for k in (1, 2, 3)]
-    return F.try_to_date(F.concat(parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyyMMdd")
+    """The first day in the text (2024년 3월 5일, 2024-03-05, 2024.3.5; else 20240305); null where there is none or no such day exists."""
+    parts = [F.regexp_extract(x, MARKED_DATE, k) for k in (1, 2, 3)]
+    marked = F.concat(parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
+    return F.try_to_date(F.when(parts[0] != "", marked).otherwise(F.regexp_extract(x, COMPACT_DATE, 1)), "yyyyMMdd")
 
 
 def strict_date(x: Column) -> Column:
@@ -87,6 +92,21 @@ def period_bounds(x: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"))
 
 
+def granular_bounds(granularity: Column, value: Column) -> Column:
+    """struct(first, last) of a normalised period: YEAR, MONTH, DATE, or RANGE of two dates in order; null where it is none."""
+    text = F.trim(value)
+    day = lambda x: x.try_cast("date")
+    found = F.regexp_extract_all(text, F.lit(r"\d{4}-\d{2}-\d{2}"), 0)
+    first, last = day(F.get(found, F.lit(0))), day(F.get(found, F.lit(1)))
+    year = (granularity == "YEAR") & text.rlike(r"^\d{4}$")
+    month = (granularity == "MONTH") & text.rlike(r"^\d{4}-\d{2}$")
+    date = (granularity == "DATE") & text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    pair = (granularity == "RANGE") & (F.size(found) == 2) & (first <= last)
+    low = F.when(year, day(F.concat(text, F.lit("-01-01")))).when(month, day(F.concat(text, F.lit("-01")))).when(date, day(text)).when(pair, first)
+    high = F.when(year, day(F.concat(text, F.lit("-12-31")))).when(month, F.last_day(day(F.concat(text, F.lit("-01"))))).when(date, day(text)).when(pair, last)
+    return F.when(low.isNotNull() & high.isNotNull(), F.struct(low.alias("first"), high.alias("last")))
+
+
 def company_key(corp_code: Column, filer: Column, group: Column) -> Column:
     """The company's code; for holding reports with the filer's name, without punctuation."""
     name = F.lower(F.regexp_replace(filer, r"(?U)\W+", ""))

@@ -1,54 +1,132 @@
-"""Events of disclosures: facts of their evidence, read with a table of parsers, dates and keywords."""
+"""Events of disclosures: facts and texts of their evidence, dated and ordered by the tables of their family.
+
+The tables are small and fixed, so they stand in the expressions: nothing is joined or broadcast for them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Mapping
 
-from discloom.functions.text import compact_key, find_date
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from discloom.functions.text import collapse, compact_key, find_date
+from discloom.operators import event_tables as T
 
-def facts(evidence: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc, ordinal, key, value, evidence: fields by their first key path; records as key of all but the last distinct value.
+#: Records of a table that are looked at for marks of a correction.
+LOOKED_AT = 8
 
-    Only latest documents of groups major and exchange count; `major` uses only its first section with evidence.
-    """
-    known = documents.where("is_latest and doc_group in ('major', 'exchange')").select("doc", "doc_group")
+
+def _texts(x: Column) -> Column:
+    """Texts with something in them, collapsed, each once."""
+    return F.array_distinct(F.filter(F.transform(x, collapse), lambda v: F.coalesce(v != "", F.lit(False))))
+
+
+def _holds(x: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[compact_key(F.lit(w)) for w in words]), lambda w: F.contains(x, w))
+
+
+def _chosen(x: Column, table: Mapping[str, object], otherwise: Column, make) -> Column:
+    out = otherwise
+    for key, value in table.items():
+        out = F.when(x == key, make(value)).otherwise(out)
+    return out
+
+
+def family(event_type: Column, subtype: Column) -> Column:
+    """The family whose tables read an event: by subtype, else by type."""
+    return _chosen(subtype, T.FAMILY_OF_SUBTYPE, _chosen(event_type, T.FAMILY_OF_TYPE, F.lit("generic"), F.lit), F.lit)
+
+
+def _words(words: tuple[str, ...]) -> Column:
+    return F.array(*[compact_key(F.lit(w)) for w in words]) if words else F.array().cast("array<string>")
+
+
+def chosen_evidence(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """evidence of latest documents of groups major and exchange with their columns; of `major` only the first section that has any."""
+    known = documents.where("is_latest and doc_group in ('major', 'exchange')")
     met = evidence.join(known, "doc")
-    first = F.min("section").over(Window.partitionBy("doc"))
-    met = met.withColumn("_first", first).where((F.col("doc_group") != "major") | (F.col("section") == F.col("_first")))
+    met = met.withColumn("_first", F.min("section").over(Window.partitionBy("doc")))
+    return met.where((F.col("doc_group") != "major") | (F.col("section") == F.col("_first"))).drop("_first")
+
+
+def facts(chosen: DataFrame) -> DataFrame:
+    """doc, section, ordinal, part, pos, evidence, key, value: fields by their first key path; an exchange table's header row; records as key of all but the last distinct value.
+
+    Tables that tell of a correction give none.
+    """
+    shown = F.to_json(F.struct("title", "units", "captions", "notes", "headers", "fields", F.transform(F.slice("records", 1, LOOKED_AT), lambda r: r["values"]).alias("rows")))
+    tables = chosen.where("kind = 'TABLE'").where(~_holds(compact_key(shown), T.CORRECTIONS))
     name = F.concat_ws(":", F.col("section").cast("string"), F.col("ordinal").cast("string"))
-    fields = met.select("doc", "section", "ordinal", name.alias("evidence"), F.posexplode("fields").alias("pos", "f"))
-    fields = fields.select("doc", "section", "ordinal", "evidence", "pos", F.array_join(F.get("f.key_paths", F.lit(0)), " ").alias("key"), F.col("f.raw_value").alias("value"))
-    values = met.select("doc", "section", "ordinal", name.alias("evidence"), F.posexplode("records").alias("pos", "r")).withColumn("v", F.array_distinct(F.filter("r.values", lambda x: F.trim(x) != ""))).where(F.size("v") > 1)
-    values = values.select("doc", "section", "ordinal", "evidence", "pos", F.array_join(F.slice("v", 1, F.size("v") - 1), " ").alias("key"), F.element_at("v", -1).alias("value"))
-    return fields.unionByName(values).where("trim(key) <> '' and trim(value) <> ''")
-
-
-def event_date(found: DataFrame, keys: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc, event_date, issue: the first date key of the subtype, in key order, that a fact's key holds and whose value is a date; else the receipt's."""
-    typed = documents.select("doc", "subtype", F.col("receipt_date").alias("_receipt"))
-    met = found.join(typed, "doc").join(F.broadcast(keys.select("subtype", "date_key", "priority")), "subtype")
-    met = met.where(F.contains(compact_key(F.col("key")), compact_key(F.col("date_key")))).withColumn("day", find_date(F.col("value"))).where("day is not null")
-    best = met.groupBy("doc").agg(F.min_by("day", F.struct("priority", "section", "ordinal", "pos")).alias("day"))
-    out = typed.join(best, "doc", "left")
-    return out.select("doc", F.coalesce("day", "_receipt").alias("event_date"), F.when(F.col("day").isNull(), "EVENT_DATE_FALLBACK").alias("issue"))
-
-
-def event_content(found: DataFrame, keywords: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc, content, evidence: facts by keyword priority, then order; alike facts once; evidence in order of use."""
-    typed = documents.select("doc", "subtype")
-    words = F.broadcast(keywords.select("subtype", "keyword", "priority"))
-    hits = found.join(typed, "doc").join(words, "subtype", "left").withColumn("_hit", F.contains(compact_key(F.col("key")), compact_key(F.col("keyword"))))
-    ranked = hits.groupBy("doc", "section", "ordinal", "pos", "key", "value", "evidence").agg(F.coalesce(F.min(F.when(F.col("_hit"), F.col("priority"))), F.lit(1 << 30)).alias("rank"))
-    once = ranked.groupBy("doc", compact_key(F.col("key")).alias("k"), "value").agg(F.min(F.struct("rank", "section", "ordinal", "pos", "key", "value", "evidence")).alias("f"))
+    own = ["doc", "section", "ordinal"]
+    pair = lambda values: F.when(F.size(values) > 1, F.struct(F.array_join(F.slice(values, F.lit(1), F.size(values) - 1), " > ").alias("key"), F.element_at(values, -1).alias("value")))
+    of_field = lambda f: F.struct(F.array_join(F.filter(F.transform(F.get(f["key_paths"], F.lit(0)), collapse), lambda v: v != ""), " > ").alias("key"), collapse(f["raw_value"]).alias("value"))
+    heads = F.transform("headers", lambda h: F.array_join(F.filter(F.transform(h, collapse), lambda v: v != ""), " > "))
+    parts = [
+        F.transform("fields", of_field), F.array(F.when(F.col("doc_group") == "exchange", pair(_texts(heads)))),
+        F.transform("records", lambda r: pair(_texts(F.concat(r["row_context"], r["values"])))),
+    ]
+
+    def placed_at(part: int, values: Column) -> Column:
+        return F.transform(values, lambda f, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), f["key"].alias("key"), f["value"].alias("value")))
+
+    placed = [placed_at(part, values) for part, values in enumerate(parts)]
+    return tables.select(*own, name.alias("evidence"), F.inline(F.concat(*[F.coalesce(p, F.filter(placed[1], lambda x: F.lit(False))) for p in placed]))).where("key <> '' and value <> ''")
+
+
+def event_dates(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc, event_date, issue: by the first date key of the subtype that a fact's key holds and whose value is a date; else the receipt's day.
+
+    Also spare: the evidence of all facts in order, which supports an event that uses none of them.
+    """
+    keys = _chosen(F.col("subtype"), T.DATES, _words(T.GENERIC_DATES), _words)
+    typed = documents.select("doc", "subtype", F.coalesce(F.try_to_date(F.col("receipt_date").cast("string"), "yyyyMMdd"), F.col("receipt_date").cast("string").try_cast("date")).alias("_receipt"))
+    met = found.join(typed, "doc").withColumn("_key", compact_key(F.col("key"))).withColumn("_rank", F.array_min(F.transform(keys, lambda k, i: F.when(F.contains(F.col("_key"), k), i))))
+    # a fact may hold several keys: the first counts, and later ones can't come before it
+    met = met.withColumn("_day", F.when(F.col("_rank").isNotNull(), find_date(F.col("value"))))
+    place = F.when(F.col("_day").isNotNull(), F.struct("_rank", "section", "ordinal", "part", "pos"))
+    best = met.groupBy("doc").agg(F.min_by("_day", place).alias("_day"), F.array_sort(F.collect_set(F.struct("section", "ordinal", "evidence"))).alias("_spare"))
+    out = typed.join(best, "doc", "left").withColumn("spare", F.transform("_spare", lambda x: x["evidence"]))
+    return out.select("doc", "spare", F.coalesce("_day", "_receipt").alias("event_date"), F.when(F.col("_day").isNull(), "EVENT_DATE_FALLBACK_TO_RECEIPT_DATE").alias("issue"))
+
+
+def event_facts(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc, lines, used: facts by the family's keywords, then in order; alike facts once; nothings, formalities and corrections left out."""
+    key = compact_key(F.col("key"))
+    plain = found.where(~F.col("value").isin(*T.NOTHING) & ~_holds(key, T.FORMALITIES) & ~_holds(key, T.CORRECTIONS))
+    met = plain.join(documents.select("doc", family(F.col("event_type"), F.col("subtype")).alias("_family")), "doc")
+    words = _chosen(F.col("_family"), T.KEYWORDS, _words(()), _words)
+    rank = F.coalesce(F.array_min(F.transform(words, lambda w, i: F.when(F.contains(key, w), i))), F.size(words))
+    fact = F.struct(rank.alias("rank"), "section", "ordinal", "part", "pos", "key", "value", "evidence")
+    once = met.groupBy("doc", key.alias("_k"), "value").agg(F.min(fact).alias("f"))
     lines = once.groupBy("doc").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    return lines.select("doc", F.array_join(F.transform("fs", lambda f: F.concat(f["key"], F.lit(": "), f["value"])), "\n").alias("content"), F.array_distinct(F.transform("fs", lambda f: f["evidence"])).alias("evidence"))
+    return lines.select("doc", F.transform("fs", lambda f: F.concat(F.lit("- "), f["key"], F.lit(": "), f["value"])).alias("lines"), F.transform("fs", lambda f: f["evidence"]).alias("used"))
 
 
-def build_events(evidence: DataFrame, documents: DataFrame, date_keys: DataFrame, keywords: DataFrame) -> DataFrame:
-    """One event for each latest document of major or exchange: date, content, evidence; status ERROR without evidence."""
-    found = facts(evidence, documents)
-    known = documents.where("is_latest and doc_group in ('major', 'exchange')").select("doc", "subtype", "receipt_date")
-    out = known.join(event_date(found, date_keys, known), "doc", "left").join(event_content(found, keywords, known), "doc", "left")
-    status = F.when(F.size(F.coalesce("evidence", F.array().cast("array<string>"))) > 0, "SUCCESS").otherwise("ERROR")
-    return out.select("doc", "subtype", "event_date", "issue", "content", "evidence", status.alias("status"))
+def event_texts(chosen: DataFrame) -> DataFrame:
+    """doc, told, heard: texts in order, alike ones once, each after its heading path."""
+    name = F.concat_ws(":", F.col("section").cast("string"), F.col("ordinal").cast("string"))
+    rows = chosen.where("kind = 'TEXT'").select("doc", collapse(F.col("text")).alias("text"), F.struct("section", "ordinal", _texts(F.col("heading_path")).alias("path"), name.alias("evidence")).alias("t")).where("text <> ''")
+    once = rows.groupBy("doc", "text").agg(F.min_by("t", F.struct("t.section", "t.ordinal")).alias("t"))
+    lines = once.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("t.section", "t.ordinal", "text", "t.path", "t.evidence"))).alias("ts"))
+    line = lambda t: F.concat(F.lit("- "), F.when(F.size(t["path"]) > 0, F.concat(F.array_join(t["path"], " > "), F.lit(": "))).otherwise(""), t["text"])
+    return lines.select("doc", F.transform("ts", line).alias("told"), F.transform("ts", lambda t: t["evidence"]).alias("heard"))
+
+
+def build_events(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc, event_type, subtype, family, event_date, issue, content, evidence, status: one event for each latest document of major or exchange.
+
+    documents: doc, doc_group, is_latest, event_type, subtype, receipt_date, company. status is ERROR where nothing supports the event.
+    """
+    known = documents.where("is_latest and doc_group in ('major', 'exchange')")
+    chosen = chosen_evidence(evidence, documents)
+    found = facts(chosen)
+    out = known.join(event_dates(found, known), "doc", "left").join(event_facts(found, known), "doc", "left").join(event_texts(chosen), "doc", "left")
+    none = F.array().cast("array<string>")
+    used = F.array_distinct(F.concat(F.coalesce("used", none), F.coalesce("heard", none)))
+    out = out.withColumn("evidence", F.when(F.size(used) > 0, used).otherwise(F.coalesce("spare", none)))
+    part = lambda title, x: F.when(F.size(x) > 0, F.concat(F.lit(title + "\n"), F.array_join(x, "\n")))
+    empty = F.when(F.col("lines").isNull() & F.col("told").isNull(), "공시 본문에서 구조화된 핵심 사실을 추출하지 못했습니다.")
+    head = F.concat(F.coalesce("company", F.lit("발행회사")), F.lit("의 "), "subtype", F.lit(" 공시 사건"))
+    content = F.concat_ws("\n\n", head, F.concat(F.lit("이벤트 분류: "), "event_type"), part("핵심 사실", F.col("lines")), part("보충 설명", F.col("told")), empty)
+    status = F.when(F.size("evidence") > 0, "SUCCESS").otherwise("ERROR")
+    return out.select("doc", "event_type", "subtype", family(F.col("event_type"), F.col("subtype")).alias("family"), "event_date", "issue", content.alias("content"), "evidence", status.alias("status"))

@@ -88,6 +88,26 @@ def budgeted_values(counts: DataFrame, table: str, column: str, distinct: str, p
     return counts.withColumn("reason", reason).withColumn("shown", F.when(F.col("reason").isNull(), n).otherwise(0).cast("long"))
 
 
+def descriptor_values(cells: DataFrame, roles: DataFrame, table: str, column: str, position: str, value: str, rules: ProfileRules = RULES) -> DataFrame:
+    """table, column, shown (distinct values in order of first appearance), omitted: what a descriptor lists of each dimension column.
+
+    A column of too many values shows none (high_cardinality); the table's budget goes to columns in order, the last one cut and
+    those after it empty (table_value_limit). roles: table, column, role; other roles show nothing.
+    """
+    text = strip(F.col(value))
+    firsts = cells.where(F.coalesce(text != "", F.lit(False))).groupBy(table, column, text.alias("_v")).agg(F.min(position).alias("_p"))
+    # of a column no more is kept than can be shown and one more, which says that there are too many
+    ranked = firsts.withColumn("_rank", F.row_number().over(Window.partitionBy(table, column).orderBy("_p", "_v"))).where(F.col("_rank") <= rules.values_per_column + 1)
+    known = ranked.groupBy(table, column).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_v"))), lambda x: x["_v"]).alias("_vs"))
+    rows = roles.join(known, [table, column], "left").withColumn("_n", F.greatest(F.coalesce(F.size("_vs"), F.lit(0)), F.lit(0)))
+    lists = (F.col("role") == "dimension") & (F.col("_n") <= rules.values_per_column)
+    before = F.coalesce(F.sum(F.when(lists, F.col("_n")).otherwise(0)).over(Window.partitionBy(table).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_left", F.greatest(F.lit(0), rules.values_per_table - before).cast("int"))
+    reason = F.when(F.col("role") != "dimension", None).when(F.col("_n") > rules.values_per_column, "high_cardinality").when((F.col("_left") == 0) | (F.col("_n") > F.col("_left")), "table_value_limit")
+    shown = F.when(lists & (F.col("_left") > 0) & (F.col("_n") > 0), F.slice("_vs", F.lit(1), F.col("_left"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(table, column, shown.alias("shown"), reason.alias("omitted"))
+
+
 def embedding_strategy(tokens: Column, long_text_ratio: Column, most: int = 1500, ratio: float = 0.2) -> Column:
     return F.when(tokens <= most, "WHOLE").when(long_text_ratio >= ratio, "ROW_GROUP").otherwise("DESCRIPTOR")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from discloom.functions.text import collapse
+from discloom.functions.text import adjacent_distinct, collapse
 
 #: Words of a note that states a limit, and notes that say nothing.
 LIMITS = ("확인할 수 없", "제공되지 않", "부족", "한계", "unavailable", "not available")
@@ -114,3 +114,44 @@ def kept_sections(sections: DataFrame, doc: str, section: str, parent: str, boun
 def citation(company: Column, report: Column, day: Column, path: Column) -> Column:
     """`company, report (2024-03-05), a > b`."""
     return F.concat(company, F.lit(", "), report, F.lit(" ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")"), F.when(F.size(path) > 0, F.concat(F.lit(", "), F.array_join(path, " > "))).otherwise(""))
+
+
+def table_metadata(title: Column, **lists: Column) -> Column:
+    """A struct of a table's title and lists of texts: blank texts left out, what is empty then null."""
+    full = {k: F.filter(v, lambda x: F.coalesce(F.trim(x) != "", F.lit(False))) for k, v in lists.items()}
+    return F.struct(F.when(F.trim(title) != "", title).alias("title"), *[F.when(F.size(v) > 0, v).alias(k) for k, v in full.items()])
+
+
+def grouped_header_lines(headers: Column) -> Column:
+    """Header paths as lines: columns under one parent share its line, in order of first sight; repeats go."""
+    paths = F.array_distinct(F.filter(F.transform(headers, adjacent_distinct), lambda p: F.size(p) > 0))
+    parent = lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(1)))
+    alone = lambda p: F.size(p) == 1
+    # a line is a lone path, or the first path of its parent
+    heads = F.filter(paths, lambda p, i: alone(p) | ~F.exists(F.slice(paths, F.lit(1), i), lambda q: ~alone(q) & (parent(q) == parent(p))))
+    leaves = lambda p: F.array_distinct(F.transform(F.filter(paths, lambda q: ~alone(q) & (parent(q) == parent(p))), lambda q: F.element_at(q, -1)))
+    told = lambda p: F.when(alone(p), p[0]).when(F.size(leaves(p)) > 1, F.concat(F.array_join(parent(p), " > "), F.lit(" : "), F.array_join(leaves(p), " | "))).otherwise(F.array_join(p, " > "))
+    return F.transform(heads, told)
+
+
+def json_scalar(x: Column, kind: str) -> Column:
+    """A value as JSON takes it: decimals and dates as text, bytes as lower-case hex; numbers, texts and truth values as they are."""
+    if kind.startswith("decimal") or kind == "date":
+        return x.cast("string")
+    if kind.startswith("timestamp"):
+        return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.lower(F.hex(x)) if kind == "binary" else x
+
+
+def error_class(names: Column, messages: Column) -> Column:
+    """TIMEOUT, INVALID_QUERY or ERROR by a chain of exceptions' names and messages, outermost first: the first that tells decides."""
+    links = F.zip_with(F.transform(names, F.lower), F.transform(messages, F.lower), lambda n, m: F.struct(n.alias("n"), m.alias("m")))
+    late = lambda x: F.contains(x["n"], F.lit("timeout")) | F.contains(x["m"], F.lit("timed out"))
+    wrong = lambda x: x["n"].rlike("syntax|clienterror|validation") | x["m"].rlike("syntax error|invalid query|bad request")
+    told = F.filter(F.transform(links, lambda x: F.when(late(x), "TIMEOUT").when(wrong(x), "INVALID_QUERY")), lambda x: x.isNotNull())
+    return F.coalesce(F.get(told, F.lit(0)), F.lit("ERROR"))
+
+
+def first_named(json_text: Column, names: Iterable[str]) -> Column:
+    """The first text under any of the names, in the order of the names, at any depth of a JSON text."""
+    return F.coalesce(*[F.get(named_values(json_text, n), F.lit(0)) for n in names])

@@ -60,6 +60,24 @@ def latest_versions(documents: DataFrame, chain: DataFrame, key: str, root: str,
     return documents.join(gone, key, "left").withColumn("is_latest", F.col("_gone").isNull()).drop("_gone")
 
 
+def latest_by_flag(documents: DataFrame, chain: DataFrame, key: str, root: str, receipt: str, flag: str = "is_latest_version") -> DataFrame:
+    """documents with is_latest: the flag where every row has one, else as latest_versions() tells; a flag on some rows alone raises."""
+    n, told = documents.agg(F.count("*"), F.count(flag)).first()
+    if told == n and n:
+        return documents.withColumn("is_latest", F.col(flag))
+    if told:
+        raise ValueError(f"{flag} stands on {told} of {n} rows: all or none must have it")
+    return latest_versions(documents, chain, key, root, receipt)
+
+
+def relabelled(nodes: DataFrame, new: DataFrame, key: str, label: str, exclusive: Sequence[str]) -> DataFrame:
+    """nodes with the labels of new's keys: of the exclusive labels a node has the new one alone, others stay. labels are an array."""
+    told = new.groupBy(key).agg(F.max(label).alias("_label"))
+    kept = F.filter("labels", lambda x: ~x.isin(*exclusive))
+    met = nodes.join(told, key, "left")
+    return met.withColumn("labels", F.when(F.col("_label").isNotNull(), F.array_union(kept, F.array("_label"))).otherwise(F.col("labels"))).drop("_label")
+
+
 def longest_prefix(names: DataFrame, name: str, categories: DataFrame, prefix: str, row: str) -> DataFrame:
     """Each name with the category whose prefix is its longest; ties go to the smaller row; unmatched names have nulls.
 

@@ -125,3 +125,58 @@ def select_rows(rows: DataFrame, label: str, wanted: DataFrame, wanted_label: st
     state = asked.join(per, "_label", "left").agg(F.bool_and(F.coalesce("hits", F.lit(0)) == 1).alias("exact")).crossJoin(unreadable)  # one row each
     met = asked.join(known, "_label").crossJoin(state)
     return met.where(F.col("exact") & (F.col("unreadable") == 0)).drop("_label", "exact", "unreadable")
+
+
+def selected_rows(rows: DataFrame, keys: list[str], label: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that a selector picks, keys where it can't). wanted: keys and `wanted`, a label that must meet exactly one row.
+
+    Groups that wanted doesn't name keep all their rows. One label without its one row, or an unreadable (null) label, voids its group.
+    """
+    asked = wanted.select(*keys, F.trim("wanted").alias("_label")).distinct()
+    named = asked.select(*keys).distinct().withColumn("_asked", F.lit(True))
+    known = rows.withColumn("_label", F.trim(label))
+    hits = known.groupBy(*keys, "_label").agg(F.count("*").alias("_hits"))
+    lost = asked.join(hits, [*keys, "_label"], "left").where(~F.col("_hits").eqNullSafe(F.lit(1))).select(*keys)
+    blind = known.where(F.col("_label").isNull()).join(named, keys, "left_semi").select(*keys)
+    picked = known.join(named, keys, "left").join(asked.withColumn("_own", F.lit(True)), [*keys, "_label"], "left")
+    picked = picked.where("_asked is null or _own is not null").withColumn("picked", F.col("_asked").isNotNull()).drop("_label", "_asked", "_own")
+    return picked, lost.unionAll(blind).distinct()
+
+
+def table_statistic(chunks: DataFrame, cells: DataFrame, wanted: DataFrame, key: str, op: str) -> DataFrame:
+    """A statistic of one column of each table, the whole path: status, failure_stage, value, unit, input_count.
+
+    chunks: key, index, count, start, end, rows. cells: key, label, cell, unit (the table's), cited (has the row a source?).
+    wanted: key and wanted, the labels asked for, where only some rows count. The first that fails names the stage: completeness_check
+    (tables of several chunks), citation_check (no row has a source), row_selection, numeric_parsing, unit_check, calculation.
+    """
+    torn = completeness(chunks, key, "index", "count", "start", "end", "rows").where("not complete").select(key, F.lit("completeness_check").alias("_first"))
+    uncited = cells.groupBy(key).agg(F.bool_or("cited").alias("_cited")).where("not _cited").select(key, F.lit("citation_check").alias("_second"))
+    rows, lost = selected_rows(cells, [key], "label", wanted)
+    found = column_statistic(rows, [key], "cell", op, selected=F.col("picked"), table_unit=F.col("unit"))
+    every = cells.select(key).distinct().join(torn, key, "left").join(uncited, key, "left").join(lost.withColumn("_third", F.lit("row_selection")), key, "left").join(found, key, "left")
+    stage = F.coalesce("_first", "_second", "_third", "failure_stage")
+    good = stage.isNull()
+    return every.select(
+        key, F.when(good, OK).otherwise(BAD).alias("status"), stage.alias("failure_stage"), F.when(good, F.col("value")).alias("value"),
+        F.when(good, F.col("unit")).alias("unit"), F.when(good, F.col("input_count")).otherwise(0).alias("input_count"),
+    )
+
+
+def combine_all(op: str, values: Column, units: Column, cited: Column) -> Column:
+    """struct(status, failure_stage, value, unit, input_count) of two operands or more: sum or mean of an array.
+
+    In order: fewer than two or a missing operand (structural), no source at all (citation_check), units that differ, null
+    agreeing with null alone (unit_check).
+    """
+    if op not in ("sum", "mean"):
+        raise ValueError(f"{op} takes two operands: see combine()")
+    n = F.size(values)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    kinds = F.size(F.array_distinct(units))
+    stage = F.when((n < 2) | F.exists(values, lambda x: x.isNull()), "structural").when(~cited, "citation_check").when(kinds > 1, "unit_check")
+    good = stage.isNull()
+    return F.struct(
+        F.when(good, OK).otherwise(BAD).alias("status"), stage.alias("failure_stage"), F.when(good, total if op == "sum" else total / n).alias("value"),
+        F.when(good, F.get(units, F.lit(0))).alias("unit"), F.when(good, n).otherwise(0).alias("input_count"),
+    )

@@ -36,12 +36,13 @@ def test_points(spark, evidence):
 
 
 def test_events(spark, evidence):
-    docs = spark.createDataFrame([(1, "exchange", "증자", True), (2, "major", "증자", True), (3, "periodic", "x", True), (4, "major", "증자", False)], "doc long, doc_group string, subtype string, is_latest boolean").withColumn("receipt_date", F.lit("2024-04-01").cast("date"))
-    keys = spark.createDataFrame([("증자", "납입일", 1), ("증자", "이사회 결의일", 2)], "subtype string, date_key string, priority int")
-    words = spark.createDataFrame([("증자", "주식수", 1)], "subtype string, keyword string, priority int")
-    got = {r.doc: r for r in DE.build_events(evidence, docs, keys, words).collect()}
-    assert set(got) == {1, 2} and str(got[1].event_date) == "2024-03-05" and got[1].content.split("\n")[0] == "발행주식수: 1,000" and got[1].status == "SUCCESS"
-    assert (str(got[2].event_date), got[2].issue, got[2].status) == ("2024-04-01", "EVENT_DATE_FALLBACK", "ERROR")
+    rows = [(1, "exchange", "유상증자결정", True), (2, "major", "유상증자결정", True), (3, "periodic", "x", True), (4, "major", "x", False)]
+    docs = spark.createDataFrame(rows, "doc long, doc_group string, subtype string, is_latest boolean").selectExpr("*", "'자본·증권발행' as event_type", "'20240401' as receipt_date", "case when doc = 1 then '가나' end as company")
+    got = {r.doc: r for r in DE.build_events(evidence, docs).collect()}
+    assert set(got) == {1, 2} and got[1].family == "capital_securities" and got[1].status == "SUCCESS"
+    assert got[1].content.startswith("가나의 유상증자결정 공시 사건\n\n이벤트 분류: 자본·증권발행\n\n핵심 사실\n- ") and "\n\n보충 설명\n- " in got[1].content
+    assert (str(got[2].event_date), got[2].issue, got[2].status) == ("2024-04-01", "EVENT_DATE_FALLBACK_TO_RECEIPT_DATE", "ERROR")
+    assert got[2].content.startswith("발행회사의 ") and got[2].content.endswith("공시 본문에서 구조화된 핵심 사실을 추출하지 못했습니다.")
 
 
 def test_projections(spark):
