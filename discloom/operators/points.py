@@ -60,6 +60,17 @@ def build_points(evidence: DataFrame, documents: DataFrame, row_limit: int = 150
     return every.select(uuid5(NAMESPACE, name).alias("point_id"), "doc", "evidence_id", "point_kind", "chunk_index", "chunk_count", text.alias("contextual_text"), F.sha2(text, 256).alias("text_hash"))
 
 
+def point_faults(evidence: DataFrame, records: DataFrame, points: DataFrame) -> DataFrame:
+    """(code, id): records whose table no evidence has (orphan_record), points whose id another has too (duplicate_point_id).
+
+    evidence and records: doc and table_id; points: point_id.
+    """
+    tables = evidence.where("table_id is not null").select("doc", "table_id")
+    orphans = records.select("doc", "table_id").distinct().join(tables, ["doc", "table_id"], "left_anti").select(F.lit("orphan_record").alias("code"), F.col("table_id").alias("id"))
+    again = points.groupBy("point_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_point_id").alias("code"), F.col("point_id").alias("id"))
+    return orphans.unionAll(again)
+
+
 def embed_once(points: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
     """points with a vector: each distinct text meets the model once, in batches of like length, and joins back by hash."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -155,3 +155,8 @@ def error_class(names: Column, messages: Column) -> Column:
 def first_named(json_text: Column, names: Iterable[str]) -> Column:
     """The first text under any of the names, in the order of the names, at any depth of a JSON text."""
     return F.coalesce(*[F.get(named_values(json_text, n), F.lit(0)) for n in names])
+
+
+def canonical_table(columns: Sequence[str], records: Column) -> Column:
+    """A table as compact JSON of its column names and its rows of texts, in order; null cells kept."""
+    return F.to_json(F.struct(F.array(*map(F.lit, columns)).alias("columns"), records.alias("records")), {"ignoreNullFields": "false"})

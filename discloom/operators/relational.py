@@ -70,6 +70,14 @@ def latest_by_flag(documents: DataFrame, chain: DataFrame, key: str, root: str,
     return latest_versions(documents, chain, key, root, receipt)
 
 
+def checked_scope(pilot: DataFrame, universe: DataFrame, key: str, name: str) -> DataFrame:
+    """pilot, whose keys must all be in the universe under the same name; anything else raises."""
+    known = universe.groupBy(F.col(key).alias("_key")).agg(F.max(name).alias("_name"))
+    met = pilot.join(known, F.col(key) == F.col("_key"), "left")
+    wrong = F.when(F.col("_key").isNull(), F.lit("missing from the universe: ")).when(~F.col(name).eqNullSafe(F.col("_name")), F.lit("another name in the universe: "))
+    return met.withColumn(name, F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.col(key).cast("string")))).otherwise(F.col(name))).select(pilot.columns)
+
+
 def relabelled(nodes: DataFrame, new: DataFrame, key: str, label: str, exclusive: Sequence[str]) -> DataFrame:
     """nodes with the labels of new's keys: of the exclusive labels a node has the new one alone, others stay. labels are an array."""
     told = new.groupBy(key).agg(F.max(label).alias("_label"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from discloom.operators import documents as D, evidence as EV, points as PT, projections as PR
+from discloom.operators import documents as D, projections as PR
 from discloom.operators.relational import correction_chain
 from discloom.plans.registry import Tables, query
+from discloom.sources.sinks import answer_envelope
 from discloom.streaming.events import apply_corrections
 
 
@@ -67,5 +68,4 @@ def merged_references(t: Tables) -> DataFrame:
 @query("answer_envelopes", "select o_orderkey, json_object('question_id', 'q' || o_orderkey, 'question', o_orderpriority, 'retrieved_context', null, 'think_trace', o_orderstatus, 'answer', case when o_orderstatus = 'F' then 'done' end)::varchar as envelope from orders")
 def answer_envelopes(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.concat(F.lit("q"), F.col("o_orderkey").cast("string")).alias("q"), "o_orderpriority", F.lit(None).cast("string").alias("c"), "o_orderstatus", F.when(F.col("o_orderstatus") == "F", "done").alias("a"))
-    fields = {"question_id": "q", "question": "o_orderpriority", "retrieved_context": "c", "think_trace": "o_orderstatus", "answer": "a"}
-    return rows.select("o_orderkey", F.to_json(F.struct(*[F.col(v).alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}).alias("envelope"))
+    return rows.select("o_orderkey", answer_envelope("q", "o_orderpriority", "c", "o_orderstatus", "a").alias("envelope"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from discloom.functions import text as X
-from discloom.operators import profiling as P, search, validation as V
+from discloom.operators import points as PT, profiling as P, projections as PR, search, validation as V
 from discloom.plans.registry import Tables, query
 
 _VECTOR = [round(((k * 37) % 17 - 8) / 10, 1) for k in range(64)]
@@ -211,15 +211,17 @@ def source_hash(t: Tables) -> DataFrame:
     return V.combined_hash(t.lineitem, "l_orderkey", path, F.concat("l_returnflag", F.col("l_partkey").cast("string")))
 
 
-@query("kv_flatten", "select conv_id, turn, array_to_string([role, 'turn ' || turn], ' > ') as key, length(text)::bigint as value from conversations")
+@query("kv_flatten", "select conv_id, turn, role || ' > turn ' || turn || ': ' || length(text) || chr(10) || 'turn: x' as lines from conversations")
 def kv_flatten(t: Tables) -> DataFrame:
-    paths = F.array(F.array(F.concat(F.col("role"), F.lit(" ")), F.concat(F.lit("turn "), F.col("turn").cast("string"))))
-    fields = t.conversations.select("conv_id", "turn", F.explode(paths).alias("p"), F.length("text").cast("long").alias("value"))
-    return fields.select("conv_id", "turn", F.array_join(F.transform("p", lambda x: F.trim(x)), " > ").alias("key"), "value")
+    """Fields to lines, each key path with its value."""
+    path = F.array(F.concat(F.col("role"), F.lit(" ")), F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    field = lambda p, v: F.struct(F.array(p).alias("key_paths"), v.alias("raw_value"))
+    fields = F.array(field(path, F.length("text").cast("string")), field(F.array(F.lit(" turn")), F.lit("x")))
+    return t.conversations.select("conv_id", "turn", PT.field_lines(fields).alias("lines"))
 
 
 @query("record_projection", "select o_custkey, json_object('columns', ['o_orderkey', 'o_orderstatus'], 'records', list([o_orderkey::varchar, o_orderstatus] order by o_orderkey))::varchar as canonical from orders group by 1")
 def record_projection(t: Tables) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.array(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
     grouped = t.orders.groupBy("o_custkey").agg(rows.alias("records"))
-    return grouped.select("o_custkey", F.to_json(F.struct(F.array(F.lit("o_orderkey"), F.lit("o_orderstatus")).alias("columns"), "records")).alias("canonical"))
+    return grouped.select("o_custkey", PR.canonical_table(["o_orderkey", "o_orderstatus"], F.col("records")).alias("canonical"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +26,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables, read by Spark so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in local mode without one, in a temporary folder."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="discloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+        where = f"file://{where}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/discloom/{label}-{uuid.uuid4().hex}"

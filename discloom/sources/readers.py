@@ -30,10 +30,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
         return spark.createDataFrame([], schema)
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return _rows_of_lines(spark.read.text(path), schema)
+    return rows_of_lines(spark.read.text(path), schema)
 
 
-def _rows_of_lines(lines: DataFrame, schema: T.StructType, *beside: str) -> DataFrame:
+def rows_of_lines(lines: DataFrame, schema: T.StructType, *beside: str) -> DataFrame:
+    """The JSON objects of text lines (column value) as rows, with the columns `beside` of their lines; other lines are left out."""
     lines = lines.where(F.trim("value").startswith("{"))
     row = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return lines.select(*beside, row.alias("r")).where("r is not null and r._bad is null").select("r.*", *beside).drop("_bad")
@@ -45,7 +46,7 @@ def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key:
         return spark.createDataFrame([], schema)
     place = ["_file", "_split", "_line"]
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
-    return last_wins(_rows_of_lines(lines, schema, *place).where(F.col(key).isNotNull()), [key], place).drop(*place)
+    return last_wins(rows_of_lines(lines, schema, *place).where(F.col(key).isNotNull()), [key], place).drop(*place)
 
 
 def read_companies(spark: SparkSession, path: str, expected: int | None = 70, sep: str = ",") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,8 +30,15 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def answer_envelope(df: DataFrame, question_id: str, question: str, context: str, trace: str, answer: str) -> DataFrame:
+def answer_envelope(question_id: str, question: str, context: str, trace: str, answer: str) -> Column:
     """The five answer fields as one JSON string, nulls kept, whether the question succeeded or not."""
     names = (question_id, question, context, trace, answer)
     fields = ("question_id", "question", "retrieved_context", "think_trace", "answer")
-    return df.select(F.to_json(F.struct(*[F.col(n).cast("string").alias(f) for n, f in zip(names, fields, strict=True)]), {"ignoreNullFields": "false"}).alias("envelope"))
+    return F.to_json(F.struct(*[F.col(n).cast("string").alias(f) for n, f in zip(names, fields, strict=True)]), {"ignoreNullFields": "false"})
+
+
+def promote(spark: SparkSession, candidate: str, golden: str, approved: bool = False) -> None:
+    """Puts a candidate table in the place of the golden one, only where that is asked for in so many words."""
+    if not approved:
+        raise ValueError("a candidate is promoted with approved=True alone")
+    spark.read.parquet(candidate).write.mode("overwrite").parquet(golden)
