@@ -36,6 +36,8 @@ BLOCK = 8 << 10
 LEVEL, MIN_MATCH = 6, 3
 #: Share of the second-best size by which the best must be smaller, or the text is rejected.
 MARGIN = 0.02
+#: Languages learned at most: a dictionary of each stands in every worker.
+LANGUAGES = 500
 HELD_OUT = (5, 0)
 
 _made: dict[int, list[tuple[str, zstandard.ZstdCompressor]]] = {}
@@ -96,14 +98,20 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     # as many rows as fill a dictionary with equal shares, SAMPLE_DOCS where no text is shorter than its share
     each = F.avg(F.least(F.length("text"), F.lit(DICT_BYTES // SAMPLE_DOCS)))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.greatest(F.lit(SAMPLE_DOCS), F.ceil(F.lit(DICT_BYTES) / each)).cast("int").alias("most"))
-    # a row's hash keeps it or not: about four times as many candidates of each language, of which the first are taken
-    thin = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
-    limit = F.least(F.lit(1.0), 4.0 * F.col("most") / F.col("n"))
-    picked = thin.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < limit * (1 << 20))
+    asked = counts.limit(LANGUAGES + 1).collect()
+    if len(asked) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: each has a dictionary in every worker")
+    if not asked:
+        return {}
+    # a row's hash keeps it or not: about four times as many candidates of each language, of which the first are taken; no join, so texts
+    # of others stay where they are
+    share = F.create_map(*[F.lit(x) for r in asked for x in (r.lang, int(min(1.0, 4.0 * r.most / r.n) * (1 << 20)) + 1)])
+    thin = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])
     # rows that repeat an id are one candidate, so one id can't fill the list
-    picked = picked.groupBy("lang", "most", "h", "doc_id").agg(F.min(windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS)).alias("text"))
-    best = F.array_sort(F.collect_list(F.struct("h", "doc_id", "text")))
-    found = picked.groupBy("lang", "most").agg(best.alias("rows")).select("lang", F.slice("rows", F.lit(1), F.col("most")).alias("rows")).collect()
+    picked = thin.groupBy("lang", "h", "doc_id").agg(F.min(windows(F.col("text"), F.col("doc_id"), SAMPLE_CHARS, WINDOWS)).alias("text"))
+    found = picked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "text"))).alias("rows"))
+    cut = F.create_map(*[F.lit(x) for r in asked for x in (r.lang, r.most)])
+    found = found.select("lang", F.slice("rows", F.lit(1), cut[F.col("lang")]).alias("rows")).collect()
     texts = {r.lang: [x.text.lower().encode("utf-8", "replace") for x in r.rows] for r in found}
     made = {lang: _dictionary(own) for lang, own in texts.items()}
     if len(made) > 1:
