@@ -184,7 +184,8 @@ def duplicate_documents(t: Tables) -> DataFrame:
     return signed.join(groups, "h").select("doc_id", "first")
 
 
-@query("requested_fact_coverage")
+@query("requested_fact_coverage", """with f as (select item_id, list_distinct(list_filter(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'), lambda x: length(x) >= 2)) as tokens from benchmark), s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) as s from documents)
+ select doc_id, item_id, bool_or(len(tokens) > 0 and len(list_filter(tokens, lambda x: contains(s, x))) = len(tokens)) as addressed from s, f group by all""")
 def requested_fact_coverage(t: Tables) -> DataFrame:
     """Is there a sentence with all the tokens of a fact? Every benchmark item against every document."""
     return search.fact_coverage(t.documents, t.benchmark, "doc_id", "item_id")
