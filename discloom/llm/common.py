@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{where}"
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/discloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/discloom/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: what they were made for must be written by then, to a path from outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -51,13 +75,6 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes every table that materialise() has made in the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/discloom")
-    path.getFileSystem(conf).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> None:
     """Lowers an Arrow batch to at most `rows` rows and about `most_bytes` bytes, on both sides of the pipe to a Python worker."""
     for key, default, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", most_bytes)):

@@ -104,3 +104,14 @@ def test_of_rows_that_share_an_id_the_smallest_text_stays(spark):
     for n in (1, 3):
         got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect()
         assert sorted((str(r.doc_id), str(r.text)[:5]) for r in got) == [("3", "a"), ("4", "long "), ("None", "a"), ("None", "a")]
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    from discloom.llm import common
+
+    rows = [(k, f"a b c d e {k // 2}", None, None) for k in range(40)]
+    with common.scratch_scope(spark):
+        near_duplicates(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{tmp_path}/out")
+        made = list(common._scopes[-1])
+    assert made and not any(spark.sparkContext._jvm.java.io.File(p.removeprefix("file://")).exists() for p in made)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
