@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from discloom.llm.common import scratch_path
+from discloom.llm.common import drop_path, scratch_path, scratch_scope
 from discloom.llm.decontaminate import drop_contaminated
 from discloom.llm.line_dedup import dedup_lines
 from discloom.llm.minhash import drop_near_duplicates
 from discloom.llm.mixing import mix_documents
 from discloom.llm.toxicity import drop_toxic
 
-#: SQL can express neither the trained classifier nor the seeded shuffle: tests hold the stages against brute force.
+#: SQL can express neither the trained classifier nor the seeded shuffle: tests hold near_dedup and run() against brute force, and the
+#: other stages' decisions against cases planted for them.
 ORACLE_SQL = None
 
 
@@ -47,9 +48,12 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", nea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that is left, with size, source_size, target and taken (the words that the mix takes of it)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            drop_path(spark, last)  # what the stage read is written anew by now
+        docs, last = spark.read.parquet(path), path
     return docs
