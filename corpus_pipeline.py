@@ -16,8 +16,8 @@ from discloom.llm.minhash import drop_near_duplicates
 from discloom.llm.mixing import mix_documents
 from discloom.llm.toxicity import drop_toxic
 
-#: SQL can express neither the trained classifier nor the seeded shuffle: tests hold near_dedup and run() against brute force, and the
-#: other stages' decisions against cases planted for them.
+#: SQL can express neither the trained classifier nor the seeded shuffle: tests hold near_dedup against brute force and the other
+#: stages' decisions against cases planted for them.
 ORACLE_SQL = None
 
 
