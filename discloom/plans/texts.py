@@ -128,7 +128,7 @@ def json_scalars(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", PR.json_scalar(price, "decimal(18,2)").alias("price"), PR.json_scalar(day, "date").alias("day"), PR.json_scalar(raw, "binary").alias("raw"), PR.json_scalar(F.col("o_orderstatus"), "string").alias("status"))
 
 
-_ERRORS = [("ReadTimeout", "x"), ("ServiceError", "request timed out"), ("CypherSyntaxError", "x"), ("ValueError", "Bad Request"), ("OSError", "gone"), ("ValidationError", "timed out")]
+_ERRORS = [("ReadTimeout", "x"), ("ServiceError", "request timed out"), ("QuerySyntaxError", "x"), ("ValueError", "Bad Request"), ("OSError", "gone"), ("ValidationError", "timed out")]
 
 
 @query("error_classes", f"select o_orderkey, {_list(['TIMEOUT', 'TIMEOUT', 'INVALID_QUERY', 'INVALID_QUERY', 'ERROR', 'TIMEOUT'])}[o_orderkey % 6 + 1] as direct, {_list(['TIMEOUT', 'TIMEOUT', 'INVALID_QUERY', 'INVALID_QUERY', 'ERROR', 'TIMEOUT'])}[o_orderkey % 6 + 1] as caused from orders")
