@@ -25,7 +25,7 @@ def collapse(x: Column) -> Column:
 
 def compact_key(x: Column) -> Column:
     """Letters, digits, Hangul syllables and % alone, lower-cased."""
-    return F.lower(F.regexp_replace(x, "[^0-9A-Za-z가-힣%]", ""))
+    return F.lower(F.regexp_replace(x, "[^0-9A-Za-z가-힣%]+", ""))
 
 
 def squeeze(x: Column) -> Column:
@@ -66,7 +66,7 @@ def find_date(x: Column) -> Column:
     """The first day in the text (2024년 3월 5일, 2024-03-05, 2024.3.5; else 20240305); null where there is none or no such day exists."""
     parts = [F.regexp_extract(x, MARKED_DATE, k) for k in (1, 2, 3)]
     marked = F.concat(parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
-    return F.try_to_date(F.when(parts[0] != "", marked).otherwise(F.regexp_extract(x, COMPACT_DATE, 1)), "yyyyMMdd")
+    return F.try_to_date(F.when(parts[0] != "", marked).otherwise(F.nullif(F.regexp_extract(x, COMPACT_DATE, 1), F.lit(""))), "yyyyMMdd")
 
 
 def strict_date(x: Column) -> Column:
