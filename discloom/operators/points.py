@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from discloom.functions.text import path_text, uuid5
 from discloom.operators.profiling import embedding_strategy, pack_tables
+from discloom.session import scratch
 
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -37,6 +38,7 @@ def field_lines(fields: Column) -> Column:
 def build_points(evidence: DataFrame, documents: DataFrame, row_limit: int = 1500, count: Callable[[Column], Column] = approximate_tokens) -> DataFrame:
     """Points of evidence rows joined to doc, corp_name, report_name: ids, kind, chunk and contextual_text.
 
+    The evidence is written once and read for each kind of point: making it may be long, and Spark would do it anew for each.
     Texts and field tables are one point each. Record tables within the limit are one, others a point for each packed
     group of rows; chunk fields are set only where a table has two points or more.
     """
@@ -46,6 +48,10 @@ def build_points(evidence: DataFrame, documents: DataFrame, row_limit: int = 150
     met = met.withColumns({"evidence_id": key, "head": head, "point_kind": F.when(F.col("kind") == "TEXT", "TEXT").otherwise(F.col("table_type"))})
     body = F.when(F.col("kind") == "TEXT", F.col("text")).when(F.col("table_type") == "KV_TABLE", field_lines(F.col("fields"))).otherwise(record_lines(F.col("headers"), F.col("records")))
     met = met.withColumn("body", body).withColumn("strategy", F.when(F.col("point_kind") == "R_TABLE", embedding_strategy(count(F.col("body")), F.lit(1.0), row_limit)).otherwise("WHOLE"))
+    packable = lambda x: F.when(F.col("strategy") != "WHOLE", F.col(x)).alias(x)
+    path = scratch(evidence.sparkSession, "evidence")
+    met.select("doc", "evidence_id", "point_kind", "head", "body", "strategy", packable("headers"), packable("records")).write.parquet(path)
+    met = evidence.sparkSession.read.parquet(path)
     whole = met.where("strategy = 'WHOLE'").select("doc", "evidence_id", "point_kind", "head", "body", F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("chunk_count"))
     large = met.where("strategy <> 'WHOLE'").select("doc", "evidence_id", "point_kind", "head", "headers", F.explode("records").alias("r"))
     lines = large.select("doc", "evidence_id", "point_kind", "head", F.col("r.record_index").alias("pos"), record_lines(F.col("headers"), F.array("r")).alias("line"))

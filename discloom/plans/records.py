@@ -191,7 +191,7 @@ def element_paths(t: Tables) -> DataFrame:
         ref("path", text("/DOCUMENT[1]/P[1]"), text("t1"), F.lit(0)), ref("id", text("/DOCUMENT[1]/P[9]"), F.concat(F.lit("t"), F.col("n").cast("string")), F.lit(0)),
         ref("table", none, text("gone"), F.lit(0)), ref("none", none, none, F.lit(99)),
     )))
-    return D.resolve_elements(D.element_rows(docs, "doc", "html", True), refs)
+    return D.resolve_references(docs, "doc", "html", refs, True)
 
 
 @query("descriptor_values", """with c as (select p_size as tbl, unnest([0, 1, 2, 3]) as col, unnest(['dimension', 'dimension', 'measure', 'dimension']) as role, p_partkey as pos, unnest([p_brand, p_type, p_retailprice::varchar, 'w' || p_partkey % 16]) as v from part),

@@ -18,3 +18,9 @@ def _plan(df):
 def test_tables_of_evidence_are_searched_once_for_corrections(spark):
     plan = _plan(entry.queries()["disclosure_events"](spark, SMALL))
     assert plan.count("structstojsonevaluator(") == 1
+
+
+@needs_tables
+@pytest.mark.parametrize("name, most", [("html_points", 0), ("element_paths", 1)])
+def test_markup_is_read_once(spark, name, most):
+    assert _plan(entry.queries()[name](spark, SMALL)).count("mapinarrow") <= most
