@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Rank fusion's constant (Cormack et al., 2009); the lists fused are OVERFETCH times as long as the result.
 RRF_C, OVERFETCH = 60, 5
@@ -34,12 +39,93 @@ def dense_topk(points: DataFrame, query: list[float], k: int, id_col: str, vecto
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))  # k rows
 
 
+#: Scores of a block of points that are held at once, and pairs whose scores are summed at once.
+BLOCK_SCORES, EXACT_PAIRS = 1 << 22, 50_000
+
+
+def _padded(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors in double precision, filled with zeros to the longest, and their lengths; -1 for one that is null or holds a null)."""
+    rows = [None if v is None or None in v else v for v in vectors.to_pylist()] if vectors.null_count or vectors.flatten().null_count else None
+    lengths = np.array([-1 if v is None else len(v) for v in rows]) if rows is not None else pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(vectors), max(0, lengths.max(initial=0))))
+    if rows is not None:
+        for k, v in enumerate(rows):
+            out[k, : len(v or ())] = v or ()
+    elif len(vectors):
+        out[np.arange(out.shape[1]) < lengths[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out, lengths
+
+
+def _leading(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the pairs that may be among a query's k best once scores are rounded: k of each score by id, as far as the k-th score goes."""
+    nan = np.isnan(score)
+    key = np.where(nan, np.inf, score)
+    order = np.lexsort((ids, ~nan, -key, q))
+    q, key, nan = q[order], key[order], nan[order]
+    at = np.arange(len(q))
+
+    def turn(new: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+
+    other = np.r_[True, q[1:] != q[:-1]][: len(q)]
+    first = turn(other)
+    alike = at - turn(other | np.r_[True, (key[1:] != key[:-1]) | (nan[1:] != nan[:-1])][: len(q)])
+    last = np.append(first[1:][other[1:]] - 1, len(q) - 1)[np.cumsum(other) - 1] if len(q) else at
+    return order[(alike < k) & (key >= key[np.minimum(first + k - 1, last)] - 2e-9)]
+
+
 def dense_topk_many(points: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, query_vector: str, most: int = 10_000) -> DataFrame:
-    """top k of every query of a stated, bounded query set against all points; the queries are broadcast once counted."""
+    """top k of every query of a stated, bounded query set against all points; the queries go to every task once counted.
+
+    Blocks of points meet all queries in one matrix product, which only tells what may be among a query's best of its task; these
+    pairs are summed again in the order of dot(). So scores, ties and ranks are those of all pairs, and no row is made of a pair.
+    """
     if (n := queries.count()) > most:
         raise ValueError(f"{n} queries; at most {most} at once")
-    pairs = points.join(F.broadcast(queries), F.col(id_col) != F.col(query_id))
-    scored = pairs.select(query_id, id_col, F.round(dot(F.col(vector), F.col(query_vector)), 9).alias("score"))
+    asked = queries.where(F.col(query_id).isNotNull()).select(query_id, query_vector).toArrow()
+    names, (q_vectors, q_lengths) = asked.column(0).to_numpy(), _padded(asked.column(1).combine_chunks())
+    kept = points.where(F.col(id_col).isNotNull()).select(id_col, vector)
+    schema = StructType([StructField(query_id, queries.schema[query_id].dataType), StructField(id_col, points.schema[id_col].dataType), StructField("score", DoubleType())])
+    fields = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = -np.inf
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, names.dtype))
+        least = np.full(len(names), none)
+        norm = np.abs(q_vectors).sum(1).max(initial=0)
+        step = max(1, BLOCK_SCORES // max(1, len(names)))
+        for batch in batches if len(names) else ():
+            ids, (own, lengths) = batch.column(0).to_numpy(zero_copy_only=False), _padded(batch.column(1))
+            width = max(own.shape[1], q_vectors.shape[1])
+            own, wanted = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (own, q_vectors))
+            for start in range(0, len(ids), step):
+                part, size, name = own[start : start + step], lengths[start : start + step], ids[start : start + step]
+                scores = part @ wanted.T
+                uneven = (size[:, None] != q_lengths) | (q_lengths < 0) if (size != q_lengths[0]).any() or (q_lengths != q_lengths[0]).any() or q_lengths[0] < 0 else None
+                if uneven is not None:
+                    scores[uneven] = none
+                near = ~(scores < least - 2e-9 - 1e-12 * norm * np.abs(part).max(initial=0))
+                row, q = np.nonzero(near)
+                differ = name[row] != names[q]
+                row, q = row[differ], q[differ]
+                for at in range(0, len(q), EXACT_PAIRS):
+                    r, c = row[at : at + EXACT_PAIRS], q[at : at + EXACT_PAIRS]
+                    exact = np.cumsum(part[r] * wanted[c], axis=1)[:, -1] + 0.0 if width else np.zeros(len(r))
+                    if uneven is not None:
+                        exact[uneven[r, c]] = none
+                    best = tuple(np.concatenate(x) for x in zip(best, (c, exact, name[r]), strict=True))
+                    lead = _leading(*best, k)
+                    best = tuple(x[lead] for x in best)
+                # the k-th of a query that has as many
+                order = np.lexsort((-np.where(np.isnan(best[1]), np.inf, best[1]), best[0]))
+                q, s = best[0][order], best[1][order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                least[q[place == k - 1]] = np.where(np.isnan(s), np.inf, s)[place == k - 1]
+        if len(best[0]):
+            told = [pa.array(names[best[0]], fields.field(0).type), pa.array(best[2], fields.field(1).type), pa.array(best[1], pa.float64(), mask=np.isneginf(best[1]))]
+            yield pa.RecordBatch.from_arrays(told, schema=fields)
+
+    scored = kept.mapInArrow(search, schema).select(query_id, id_col, F.round("score", 9).alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

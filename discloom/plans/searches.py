@@ -30,7 +30,7 @@ def dense_topk_filtered(t: Tables) -> DataFrame:
  select q, vec_id, rank from (select *, row_number() over (partition by q order by s desc, vec_id) as rank from s) where rank <= 5""")
 def dense_topk_many(t: Tables) -> DataFrame:
     asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    return search.dense_topk_many(t.embeddings, asked, 5, "vec_id", "embedding", "q", "e").select("q", "vec_id", "rank")
+    return search.dense_topk_many(t.embeddings, asked, 5, "vec_id", "embedding", "q", "e", most=100_000).select("q", "vec_id", "rank")
 
 
 @query("sparse_topk", f"select id as doc_id, score, row_number() over (order by score desc, id) as rank from ({_SPARSE}) order by rank limit 20")

@@ -1,10 +1,13 @@
 """Steps that grew faster than the tables: what each does once, and what it holds at once."""
 
 import os
+import random
 
 import pytest
 
 import __spark_entry__ as entry
+from discloom.operators import search
+from pyspark.sql import Window, functions as F
 
 SMALL = entry.SMOKE_DIR
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the tables")
@@ -24,3 +27,17 @@ def test_tables_of_evidence_are_searched_once_for_corrections(spark):
 @pytest.mark.parametrize("name, most", [("html_points", 0), ("element_paths", 1)])
 def test_markup_is_read_once(spark, name, most):
     assert _plan(entry.queries()[name](spark, SMALL)).count("mapinarrow") <= most
+
+
+def test_many_searches_make_no_row_of_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_SCORES", 64)
+    rnd = random.Random(3)
+    vectors = [[rnd.choice([0.5, -1.0, 0.25]) for _ in range(3)] for _ in range(120)] + [None, [1.0, None, 0.0], [1.0], [float("nan"), 0.0, 0.0]]
+    points = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>").repartition(3)
+    asked = points.where("id % 10 = 0 or id > 118").selectExpr("id as q", "v as w")
+    for k in (1, 5, 200):
+        pairs = points.crossJoin(asked).where("id <> q").select("q", "id", F.round(search.dot(F.col("v"), F.col("w")), 9).alias("score"))
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
+        got = search.dense_topk_many(points, asked, k, "id", "v", "q", "w")
+        assert "join" not in _plan(got)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
