@@ -24,7 +24,7 @@ def column_statistic(cells: DataFrame, keys: list[str], cell: str, op: str, sele
     Checks in order: a missing cell in a selected row or unreadable text (numeric_parsing), more than one unit among
     cells or, where no cell has one, among tables (unit_check), nothing left (numeric_parsing), a tied mode or a
     deviation of fewer than two values (calculation). Missing cells of whole columns are passed over.
-    One aggregation computes all of it; the mode's ties need one more, over (group, value).
+    One aggregation computes all of it; the mode's ties need one before it, by (group, value).
     """
     if op not in OPERATIONS:
         raise ValueError(f"unknown operation {op}")
@@ -33,18 +33,24 @@ def column_statistic(cells: DataFrame, keys: list[str], cell: str, op: str, sele
     value = {
         "sum": F.sum("value"), "mean": F.avg("value"), "median": F.median("value"), "max": F.max("value"), "min": F.min("value"), "stdev": F.stddev_samp("value"), "mode": F.lit(None).cast("double"),
     }[op]
+    bad = F.count_if(F.col("is_invalid") | (F.col("is_missing") & F.col("picked")))
     units, tables = F.min("unit"), F.min("tu")
-    out = rows.groupBy(*keys).agg(
-        F.count("value").alias("n"), value.cast("double").alias("v"), F.count_if(F.col("is_invalid") | (F.col("is_missing") & F.col("picked"))).alias("bad"),
-        (units != F.max("unit")).alias("mixed"), units.alias("u"), (tables != F.max("tu")).alias("tables_mixed"), tables.alias("t"),
-    )
     if op == "mode":
-        counts = rows.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("c"))
-        best = counts.groupBy(*keys).agg(F.max(F.struct("c", "value")).alias("top"), F.max(F.struct("c", -F.col("value"))).alias("low"))
-        best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("top.value").cast("double").alias("m"), (F.col("top.value") != -F.col("low.col2")).alias("tied"))
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        out = out.join(best, on, "left") if keys else out.crossJoin(best)
-        out = out.withColumn("v", F.col("m"))
+        # cells are read once: everything is counted by value first, then added up
+        per = rows.groupBy(*keys, "value").agg(F.count("value").alias("c"), bad.alias("bad"), units.alias("u"), F.max("unit").alias("u_last"), tables.alias("t"), F.max("tu").alias("t_last"))
+        often = lambda x: F.max(F.when(F.col("value").isNotNull(), F.struct("c", x.alias("value"))))
+        out = per.groupBy(*keys).agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.min("u").alias("u"), F.max("u_last").alias("u_last"), F.min("t").alias("t"), F.max("t_last").alias("t_last"),
+            often(F.col("value")).alias("top"), often(-F.col("value")).alias("low"),
+        )
+        out = out.select(
+            *keys, "n", F.col("top.value").cast("double").alias("v"), "bad", (F.col("u") != F.col("u_last")).alias("mixed"), "u", (F.col("t") != F.col("t_last")).alias("tables_mixed"), "t",
+            (F.col("top.value") != -F.col("low.value")).alias("tied"),
+        )
+    else:
+        out = rows.groupBy(*keys).agg(
+            F.count("value").alias("n"), value.cast("double").alias("v"), bad.alias("bad"), (units != F.max("unit")).alias("mixed"), units.alias("u"), (tables != F.max("tu")).alias("tables_mixed"), tables.alias("t"),
+        )
     fails = F.col("tied") if op == "mode" else (F.col("n") < 2) if op == "stdev" else F.lit(False)
     stage = (
         F.when(F.col("bad") > 0, "numeric_parsing").when(F.col("mixed"), "unit_check").when(F.col("u").isNull() & F.col("tables_mixed"), "unit_check")
@@ -100,11 +106,13 @@ def completeness(chunks: DataFrame, key: str, index: str, count: str, start: str
     row_range (length is not the rows it holds), contiguity (each start is the last end + 1).
     """
     order = Window.partitionBy(key).orderBy(index, start)
-    line = chunks.withColumn("gap", F.coalesce(F.col(start) != F.lag(end).over(order) + 1, F.lit(False)))
+    new = ~F.col(index).eqNullSafe(F.lag(index).over(order)) & F.col(index).isNotNull()
+    line = chunks.withColumns({"gap": F.coalesce(F.col(start) != F.lag(end).over(order) + 1, F.lit(False)), "_new": new})
+    # a struct's maximum makes it an aggregation of rows as sorted by the window, without a table of keys in memory
     out = line.groupBy(key).agg(
-        F.count("*").alias("n"), F.min(count).alias("lo"), F.max(count).alias("hi"), F.min(index).alias("first"), F.max(index).alias("last"), F.countDistinct(index).alias("distinct"),
-        F.min(start).alias("start"), F.bool_or(F.col(end) - F.col(start) + 1 != F.col(rows)).alias("length"), F.bool_or("gap").alias("gap"),
-    )
+        F.count("*").alias("n"), F.min(count).alias("lo"), F.max(count).alias("hi"), F.min(index).alias("first"), F.max(index).alias("last"), F.count_if("_new").alias("distinct"),
+        F.min(start).alias("start"), F.bool_or(F.col(end) - F.col(start) + 1 != F.col(rows)).alias("length"), F.max(F.struct("gap")).alias("gaps"),
+    ).withColumn("gap", F.col("gaps.gap"))
     reason = (
         F.when((F.col("lo") < 2) | (F.col("lo") != F.col("hi")), "chunk_count").when((F.col("first") < 0) | (F.col("last") >= F.col("hi")), "index_range")
         .when(F.col("distinct") < F.col("n"), "repeated_index").when(F.col("distinct") < F.col("hi"), "missing_index").when(F.col("start") != 0, "row_start")

@@ -41,3 +41,14 @@ def test_many_searches_make_no_row_of_each_pair(spark, monkeypatch):
         got = search.dense_topk_many(points, asked, k, "id", "v", "q", "w")
         assert "join" not in _plan(got)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@needs_tables
+def test_modes_read_cells_once(spark):
+    assert _plan(entry.queries()["table_stat_mode"](spark, SMALL)).count("relation [") == 1
+
+
+@needs_tables
+def test_completeness_keeps_no_table_of_keys(spark):
+    plan = entry.queries()["table_completeness"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" in plan
