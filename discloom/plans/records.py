@@ -24,7 +24,7 @@ def table_statistic_chain(t: Tables) -> DataFrame:
     """An order's lines as a table of one-row chunks: some tables are torn, uncited, asked for rows that are two, unreadable or of mixed units."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     key = F.col("l_orderkey")
-    lines = t.lineitem.withColumns({"i": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("l_orderkey"))}).where("n > 1")
+    lines = t.lineitem.withColumns({"i": F.row_number().over(order), "n": F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where("n > 1")
     at = F.col("i") - 1
     chunks = lines.select("l_orderkey", at.alias("index"), F.col("n").alias("count"), at.alias("start"), (at + F.when(key % 11 == 0, 1).otherwise(0)).alias("end"), F.lit(1).alias("rows"))
     unit = F.when(key % 3 == 0, F.concat(F.lit(" "), "l_returnflag")).otherwise("")
