@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from discloom import session
+
 #: Rows and bytes of an Arrow batch given to Python: a batch ends at the first bound that it reaches (a longer row stands alone).
 BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
@@ -77,9 +79,7 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> None:
     """Lowers an Arrow batch to at most `rows` rows and about `most_bytes` bytes, on both sides of the pipe to a Python worker."""
-    for key, default, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", most_bytes)):
-        if not 0 < int(spark.conf.get(key, default)) <= most:
-            spark.conf.set(key, str(most))
+    session.bounded_batches(spark, rows, most_bytes)
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from discloom.functions.text import path_text, uuid5
 from discloom.operators.profiling import embedding_strategy, pack_tables
-from discloom.session import scratch
+from discloom.session import bounded_batches, scratch
 
+#: Texts that Python holds at once: sorted by length, the longest of a task would meet in one batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -86,6 +88,7 @@ def embed_once(points: DataFrame, model: Callable[[list[str]], list[list[float]]
                 part = pdf.iloc[k : k + batch]
                 yield pd.DataFrame({"text_hash": part["text_hash"], "vector": model(part["contextual_text"].tolist())})
 
+    bounded_batches(points.sparkSession, BATCH_ROWS, BATCH_BYTES)
     distinct = points.select("text_hash", "contextual_text").dropDuplicates(["text_hash"])
     by_length = distinct.sortWithinPartitions(F.length("contextual_text"))
     return points.join(by_length.mapInPandas(run, "text_hash string, vector array<float>"), "text_hash")

@@ -39,3 +39,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         where = f"file://{where}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/discloom/{label}-{uuid.uuid4().hex}"
+
+
+def bounded_batches(spark: SparkSession, rows: int, most_bytes: int) -> None:
+    """Lowers an Arrow batch to at most `rows` rows and about `most_bytes` bytes, on both sides of the pipe to a Python worker."""
+    for key, default, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", most_bytes)):
+        if not 0 < int(spark.conf.get(key, default)) <= most:
+            spark.conf.set(key, str(most))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
-from discloom.operators import search
+from discloom.operators import points as PT, search
 from pyspark.sql import Window, functions as F
 
 SMALL = entry.SMOKE_DIR
@@ -52,3 +52,13 @@ def test_modes_read_cells_once(spark):
 def test_completeness_keeps_no_table_of_keys(spark):
     plan = entry.queries()["table_completeness"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "SortAggregate" in plan
+
+
+def test_texts_meet_the_model_in_small_batches(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for key in keys:
+        spark.conf.unset(key)
+    rows = spark.createDataFrame([("h1", "a"), ("h2", "bb"), ("h1", "a")], "text_hash string, contextual_text string")
+    found = PT.embed_once(rows, lambda texts: [[float(len(x))] for x in texts])
+    assert sorted((r.text_hash, r.vector[0]) for r in found.collect()) == [("h1", 1.0), ("h1", 1.0), ("h2", 2.0)]
+    assert [int(spark.conf.get(key)) for key in keys] == [1000, 2 << 20]
