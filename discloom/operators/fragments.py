@@ -20,6 +20,8 @@ EVIDENCE_ID = r"^evidence:(\d+):src(\d+):s(\d+):e(\d+)$"
 TABLE_ID = r"^rtable:(\d+):src(\d+):s(\d+):t(\d+)$"
 TEXT_ROLES = ("BODY", "NOTE", "REFERENCE_NOTICE")
 ROW_TYPES = ("DATA", "SUBTOTAL", "TOTAL", "UNKNOWN")
+#: Sections of a task that sorts their keys.
+SECTIONS_A_TASK = 100_000
 
 EVIDENCE = (
     "section_id string, pos int, evidence_id string, ord int, evidence_type string, table_type string, storage_mode string, text string, text_role string, captions array<string>, heading_path array<string>, "
@@ -42,58 +44,77 @@ def _matches(x: str, pattern: str) -> Column:
 
 
 def fragment_faults(sections: DataFrame, evidence: DataFrame, records: DataFrame) -> DataFrame:
-    """section_id, code, at of every fault. sections: section_id of each fragment."""
+    """section_id, code, at of every fault. sections: section_id of each fragment.
+
+    What a row shows by itself is told where it is read. Only keys, places and sizes are shuffled for the rest, to as many tasks as
+    SECTIONS_A_TASK asks for.
+    """
     section_ok = _matches("section_id", SECTION_ID)
     text, table = F.col("evidence_type") == "TEXT", F.col("evidence_type") != "TEXT"
     kind = F.coalesce("table_type", F.lit(""))
     stored = table & (kind != "KV_TABLE") & F.col("storage_mode").eqNullSafe("SECTION_RECORDS")
     same = lambda x, pattern: ~section_ok | ~_matches(x, pattern) | (_scope(x, pattern) == _scope("section_id", SECTION_ID))
-    order = Window.partitionBy("section_id").orderBy("pos")
-    nth = lambda key: F.row_number().over(Window.partitionBy("section_id", key).orderBy("pos"))
-    turn = F.sum(stored.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    marked = evidence.withColumns({"_nth": nth("evidence_id"), "_turn": turn, "_stored": stored}).withColumn("_again", F.when(F.col("_stored"), F.row_number().over(Window.partitionBy("section_id", "_stored", "table_id").orderBy("pos"))).otherwise(1))
     scoped = _matches("table_id", TABLE_ID) & same("table_id", TABLE_ID)
     rules = {
-        "evidence_id": _matches("evidence_id", EVIDENCE_ID), "evidence_id_scope": same("evidence_id", EVIDENCE_ID), "duplicate_evidence_id": F.col("_nth") == 1, "evidence_order": F.col("ord").eqNullSafe(F.col("pos")),
+        "evidence_id": _matches("evidence_id", EVIDENCE_ID), "evidence_id_scope": same("evidence_id", EVIDENCE_ID), "evidence_order": F.col("ord").eqNullSafe(F.col("pos")),
         "evidence_type": F.col("evidence_type").isin("TEXT", "TABLE"), "heading_path": _filled("heading_path"),
         "text_payload": table | (F.coalesce(F.trim("text"), F.lit("")) != ""), "text_role": table | F.col("text_role").isNull() | F.col("text_role").isin(*TEXT_ROLES),
         "captions": text | (_filled("captions") & (F.col("captions").isNull() | (F.size(F.array_distinct("captions")) == F.size("captions")))), "table_text_role": text | F.col("text_role").isNull(),
         "table_type": text | kind.isin("KV_TABLE", "R_TABLE"), "kv_storage_mode": text | (kind != "KV_TABLE") | F.col("storage_mode").isNull(), "kv_payload": text | (kind != "KV_TABLE") | F.col("fields").isNotNull(),
-        "r_table_storage_mode": text | (kind == "KV_TABLE") | F.col("_stored"), "table_id": ~F.col("_stored") | _matches("table_id", TABLE_ID), "table_id_scope": ~F.col("_stored") | ~_matches("table_id", TABLE_ID) | same("table_id", TABLE_ID),
-        "table_id_order": ~F.col("_stored") | ~scoped | (F.regexp_extract("table_id", TABLE_ID, 4).try_cast("int") == F.col("_turn")), "duplicate_table_id": F.col("_again") == 1,
-        "record_count_value": ~F.col("_stored") | (F.col("record_count") >= 0), "headers": ~F.col("_stored") | (F.col("headers").isNotNull() & F.forall("headers", lambda h: h.isNotNull() & F.forall(h, lambda p: p.isNotNull()))),
+        "r_table_storage_mode": text | (kind == "KV_TABLE") | stored, "table_id": ~stored | _matches("table_id", TABLE_ID), "table_id_scope": ~stored | ~_matches("table_id", TABLE_ID) | same("table_id", TABLE_ID),
+        "record_count_value": ~stored | (F.col("record_count") >= 0), "headers": ~stored | (F.col("headers").isNotNull() & F.forall("headers", lambda h: h.isNotNull() & F.forall(h, lambda p: p.isNotNull()))),
+    }
+    row_rules = {
+        "record_index": F.col("record_index") >= 0, "row_type": F.col("row_type").isin(*ROW_TYPES),
+        "row_context": F.col("row_context").isNotNull() & F.forall("row_context", lambda v: v.isNotNull()), "values": F.col("values").isNotNull() & F.forall("values", lambda v: v.isNotNull()),
     }
     at = lambda df: df.select("section_id", "code", F.col("pos").cast("string").alias("at"))
-    own = at(violations(marked, ["section_id", "pos"], rules))
     bad_sections = sections.where(~section_ok).select("section_id", F.lit("section_id").alias("code"), F.lit(None).cast("string").alias("at"))
 
-    # the last table of an id tells what its records should be
-    tables = marked.where("_stored").groupBy("section_id", "table_id").agg(F.max_by(F.struct(F.coalesce("record_count", F.lit(-1)).alias("n"), F.coalesce(F.size("headers"), F.lit(0)).alias("width")), "pos").alias("t"))
-    tables = tables.select("section_id", "table_id", F.greatest("t.n", F.lit(-1)).alias("n"), "t.width")
-    met = records.join(tables.withColumn("_known", F.lit(True)), ["section_id", "table_id"], "left")
-    row_rules = {
-        "orphan_record": F.col("_known").isNotNull(), "record_index": F.col("record_index") >= 0, "row_type": F.col("row_type").isin(*ROW_TYPES),
-        "row_context": F.col("row_context").isNotNull() & F.forall("row_context", lambda v: v.isNotNull()), "values": F.col("values").isNotNull() & F.forall("values", lambda v: v.isNotNull()),
-        "record_width": F.col("_known").isNull() | F.col("values").isNull() | (F.size("values") == F.col("width")),
+    tasks = max(int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sections.count() // SECTIONS_A_TASK))
+    ids = evidence.select("section_id", "evidence_id", "pos").repartition(tasks, "section_id", "evidence_id")
+    again = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("section_id", "evidence_id").orderBy("pos"))).where("_nth > 1").select("section_id", F.lit("duplicate_evidence_id").alias("code"), "pos")
+
+    place = F.when(scoped, F.coalesce(F.regexp_extract("table_id", TABLE_ID, 4).try_cast("int"), F.lit(-1)))
+    tables = evidence.where(stored).select("section_id", "table_id", F.lit(0).alias("kind"), "pos", F.coalesce("record_count", F.lit(-1)).alias("n"), F.coalesce(F.size("headers"), F.lit(0)).alias("width"), place.alias("place"))
+    rows = records.select("section_id", "table_id", F.lit(1).alias("kind"), "pos", F.col("record_index").alias("n"), F.when(F.col("values").isNotNull(), F.size("values")).alias("width"), F.lit(None).cast("int").alias("place"))
+    met = _table_faults(tables.unionAll(rows).repartition(tasks, "section_id"))
+    return all_violations([bad_sections, at(violations(evidence, ["section_id", "pos"], rules)), at(again), at(violations(records, ["section_id", "pos"], row_rules)), met])
+
+
+def _table_faults(rows: DataFrame) -> DataFrame:
+    """Faults between the tables of a section (kind 0; n records of a width, place as its id tells) and its records (kind 1; n is the index).
+
+    Rows are dealt by section_id and sorted three times, without a join or a table of keys: by list, by turn and by table.
+    """
+    listed, order = Window.partitionBy("section_id", "kind").orderBy("pos"), Window.partitionBy("section_id", "table_id").orderBy("kind", "pos")
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_table, is_record, keyed = F.col("kind") == 0, F.col("kind") == 1, F.col("section_id").isNotNull() & F.col("table_id").isNotNull()
+    # a turn is a table that asks for records, or a run of records of one table: the nth of one kind must meet the nth of the other
+    starts = F.coalesce(~F.col("table_id").eqNullSafe(F.lag("table_id").over(listed)), F.lit(True)) | F.lag("pos").over(listed).isNull()
+    df = rows.withColumns({"_no": F.row_number().over(listed) - 1, "_starts": starts}).withColumn("_starts", F.when(is_table, F.col("n") > 0).otherwise(F.col("_starts")))
+    df = df.withColumn("_turn", F.when(F.col("_starts"), F.sum(F.col("_starts").cast("int")).over(so_far(listed))))
+    turn, own = Window.partitionBy("section_id", "_turn").orderBy("kind"), F.col("table_id")
+    alone = ~F.coalesce(own == F.lag("table_id").over(turn), F.lit(False)) & ~F.coalesce(own == F.lead("table_id").over(turn), F.lit(False))
+    df = df.withColumn("_alone", alone).withColumn("_alone", F.col("_starts") & (F.col("_alone") | F.col("section_id").isNull()))
+    # a table's rows stand before its records; the last of an id tells what its records should be, dense from 0 in list order
+    told = F.last(F.when(is_table, F.struct("n", "width")), ignorenulls=True).over(so_far(order))
+    df = df.withColumns({"_nth": F.row_number().over(order), "_t": told, "_found": F.sum("kind").over(so_far(order)), "_ends": F.lead("kind").over(order).isNull()})
+    df = df.withColumn("_dense", F.min(is_table | ~keyed | F.col("n").eqNullSafe(F.col("_found") - 1)).over(so_far(order)))
+    section = Window.partitionBy("section_id")
+    df = df.withColumns({"_torn": F.max("_alone").over(section), "_first": F.lag("kind").over(section.orderBy("table_id", "kind", "pos")).isNull()})
+
+    known, counted = F.col("_t").isNotNull() & keyed, F.col("_ends") & F.col("_t").isNotNull()
+    found, asked = F.when(keyed, F.col("_found")).otherwise(0), F.greatest("_t.n", F.lit(-1))
+    pos, none = F.col("pos").cast("string"), F.lit(None).cast("string")
+    faults = {
+        "table_id_order": (is_table & (F.col("place") != F.col("_no")), pos), "duplicate_table_id": (is_table & (F.col("_nth") > 1), pos),
+        "orphan_record": (is_record & ~known, pos), "record_width": (is_record & known & (F.col("width") != F.col("_t.width")), pos),
+        "record_count": (counted & (found != asked), own), "record_order": (counted & ~((found == F.greatest(asked, F.lit(0))) & F.col("_dense")), own),
+        "record_table_order": (F.col("_first") & F.col("_torn"), none),
     }
-    rows = at(violations(met, ["section_id", "pos"], row_rules))
-    # dense from 0 in list order: as many, and each index its own place among the table's records
-    placed = records.withColumn("_place", F.row_number().over(Window.partitionBy("section_id", "table_id").orderBy("pos")) - 1)
-    actual = placed.groupBy("section_id", "table_id").agg(F.count("*").alias("found"), F.bool_and(F.col("record_index").eqNullSafe(F.col("_place"))).alias("dense"))
-    counted = tables.join(actual, ["section_id", "table_id"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    count_rules = {"record_count": F.col("found") == F.col("n"), "record_order": (F.col("found") == F.greatest("n", F.lit(0))) & F.coalesce("dense", F.lit(True))}
-    totals = violations(counted, ["section_id", "table_id"], count_rules).select("section_id", "code", F.col("table_id").alias("at"))
-    return all_violations([bad_sections, own, rows, totals, _table_order(marked, records)])
-
-
-def _table_order(marked: DataFrame, records: DataFrame) -> DataFrame:
-    """Sections whose records don't come table by table in the order of the tables: a turn is a run of records of one table."""
-    order = Window.partitionBy("section_id").orderBy("pos")
-    runs = records.withColumn("_new", F.coalesce(~F.col("table_id").eqNullSafe(F.lag("table_id").over(order)), F.lit(True)) | (F.lag("pos").over(order).isNull())).where("_new")
-    runs = runs.select("section_id", "table_id", F.row_number().over(order).alias("n"))
-    asked = marked.where("_stored and record_count > 0").select("section_id", "table_id", F.row_number().over(order).alias("n"))
-    both = runs.withColumn("_run", F.lit(1)).join(asked.withColumn("_asked", F.lit(1)), ["section_id", "table_id", "n"], "full")
-    return both.where("_run is null or _asked is null").select("section_id", F.lit("record_table_order").alias("code"), F.lit(None).cast("string").alias("at")).distinct()
+    seen = F.array_compact(F.array(*[F.when(is_so, F.struct(F.lit(code).alias("code"), where.alias("at"))) for code, (is_so, where) in faults.items()]))
+    return df.select("section_id", F.inline(seen))
 
 
 def forbidden_names(schema_names: Sequence[str]) -> list[str]:
