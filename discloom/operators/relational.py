@@ -114,46 +114,112 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
     return reduce(DataFrame.unionAll, levels) if levels else own.withColumn("depth", F.lit(1))
 
 
+#: Days by group up to which their table is broadcast.
+FEW_DAYS = 50_000
+#: Stands for the number of a receipt without one: every numbered receipt comes before it.
+_NO_NUMBER = 10**15
+
+
 def resolve_corrections(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     """The document that each correction corrects: a cascade in which uniqueness decides.
 
     sources: src (a key), receipt, original_date, doc_group, company, name, family. candidates: the same without
     original_date, with submitted. Stages: date and prior receipt, group (a missing side agrees), company (skipped without
     one), exact name, family, sole candidate. No source meets the candidates of its day: each bucket of (date, group, company,
-    name or family), with * for what a stage doesn't ask, keeps its three smallest receipts of either kind (numbered or not),
-    enough to tell none, one and more prior receipts apart, and a source looks up at most nine buckets.
+    name or family), with * for what a source doesn't ask, is a row with its two smallest numbered receipts, enough to tell none,
+    one and more prior ones apart. A source asks for its name, its family and its company, a join each; the first two stages
+    only ask whether there is one. A first job counts days and groups: receipts without a number and candidates without a group have tables of their own, where there are any.
     """
-    numbered = lambda x: F.col(x).rlike(r"^\d{14}$")
+    numbered = F.col("receipt").rlike(r"\A[0-9]{14}\z")
     is_ = lambda x: F.concat(F.lit("="), F.col(x).cast("string"))
-    some, none = F.lit("*"), F.lit("-")
-    axes = {"g": F.array(some, F.coalesce(is_("doc_group"), none)), "k": F.array(some, is_("company")), "n": F.array(some, F.concat(F.lit("n"), is_("name")), F.concat(F.lit("f"), is_("family")))}
-    at = candidates.where("receipt is not null and submitted is not null").select(F.col("submitted").alias("d"), "receipt", numbered("receipt").alias("kind"), *[v.alias(k) for k, v in axes.items()])
-    for axis in axes:
-        at = at.withColumn(axis, F.explode(axis)).where(F.col(axis).isNotNull())
-    bucket = ["d", "g", "k", "n"]
-    first = at.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*bucket, "kind").orderBy("receipt"))).where(F.col("_rank") <= 3)
-    kept = first.groupBy(*bucket, "kind", "receipt").agg(F.count("*").alias("n_rows")).groupBy(*bucket).agg(F.collect_list(F.struct("kind", "receipt", "n_rows")).alias("kept"))
-
-    groups = F.when(F.col("doc_group").isNull(), F.array(some)).otherwise(F.array(is_("doc_group"), none))
-    company = F.coalesce(is_("company"), some)
-    ask = lambda stage, g, k, n: F.struct(F.lit(stage).alias("stage"), g.alias("g"), k.alias("k"), n.alias("n"))
-    each = lambda stage, k, n: F.transform(groups, lambda g: ask(stage, g, k, n))
-    stages = {"grouped": (some, some), "own": (company, some), "exact": (company, F.concat(F.lit("n"), is_("name"))), "kin": (company, F.concat(F.lit("f"), is_("family")))}
-    asked = F.concat(F.array(ask("dated", some, some, some)), *[each(s, k, n) for s, (k, n) in stages.items()])
-    looked = sources.select("src", "receipt", "original_date", F.explode(asked).alias("a")).select("src", "receipt", "original_date", "a.*").join(kept.withColumnRenamed("d", "original_date"), ["original_date", "g", "k", "n"], "left")
-    prior = lambda x: (x["receipt"] != F.col("receipt")) & (~(numbered("receipt") & x["kind"]) | (x["receipt"] < F.col("receipt")))
-    met = looked.select("src", "original_date", "stage", F.filter("kept", prior).alias("m"))
-    count = F.coalesce(F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x["n_rows"]), F.lit(0))
-    least = F.array_min(F.transform("m", lambda x: x["receipt"]))
-    of = lambda stage, v: F.when(F.col("stage") == stage, v)
-    found = met.groupBy("src", "original_date").agg(*[F.coalesce(F.sum(of(k, count)), F.lit(0)).alias(k) for k in ("dated", *stages)], *[F.min(of(k, least)).alias(f"{k}_receipt") for k in ("own", "exact", "kin")])
-    code = (
-        F.when(F.col("original_date").isNull(), "NOT_RESOLVED").when(F.col("dated") == 0, "DATE_NOT_FOUND").when(F.col("grouped") == 0, "GROUP_MISMATCH").when(F.col("own") == 0, "COMPANY_MISMATCH")
-        .when(F.col("exact") == 1, "EXACT").when(F.col("exact") > 1, "AMBIGUOUS").when(F.col("kin") == 1, "DOCUMENT_FAMILY_RECOVERED").when(F.col("kin") > 1, "AMBIGUOUS")
-        .when(F.col("own") == 1, "UNIQUE_CANDIDATE_RECOVERED").otherwise("AMBIGUOUS")
+    some, none, text = F.lit("*"), F.lit("-"), (lambda x: F.col(x).cast("string"))
+    known = candidates.where("receipt is not null and submitted is not null").select(
+        text("submitted").alias("d"), F.coalesce(is_("doc_group"), none).alias("g"), is_("company").alias("k"), text("name").alias("name"), text("family").alias("family"), "receipt", F.when(numbered, F.col("receipt").try_cast("long")).alias("r"),
+    )
+    days, loose, named = known.groupBy("d", "g").agg(F.max(F.col("r").isNull()).alias("named")).agg(F.count("*"), F.max(F.col("g") == none), F.max("named")).first()
+    numbers = known.where("r is not null") if named else known
+    pairs, own = {}, None
+    for axis in ("name", "family"):
+        kept = _least(_asked_ways(_least(numbers.select("d", "g", "k", F.col(axis).alias("x"), "r"))))
+        pairs[axis], own = _pairs(kept), kept
+    pairs["own"] = _pairs(_least(own.withColumn("x", F.lit(""))))
+    lists = {}
+    if named:
+        for axis in ("name", "family", "own"):
+            lists[axis] = _name_lists(_asked_ways(known.where("r is null").select("d", "g", "k", (F.lit("") if axis == "own" else F.col(axis)).alias("x"), "receipt")))
+
+    met = sources.select(
+        "src", text("original_date").alias("d"), F.coalesce(is_("doc_group"), some).alias("g"), F.coalesce(is_("company"), some).alias("k"), text("name").alias("name"), text("family").alias("family"), F.lit("").alias("own"),
+        F.when(numbered, F.col("receipt").try_cast("long")).when(F.col("receipt").isNotNull(), F.lit(_NO_NUMBER)).alias("r"), *(["receipt"] if named else []),
     )
-    target = F.when(F.col("code") == "EXACT", F.col("exact_receipt")).when(F.col("code") == "DOCUMENT_FAMILY_RECOVERED", F.col("kin_receipt")).when(F.col("code") == "UNIQUE_CANDIDATE_RECOVERED", F.col("own_receipt"))
-    return found.withColumn("code", code).select("src", "code", target.alias("target"))
+    met = met.withColumns({"code": F.when(F.col("d").isNull(), "NOT_RESOLVED"), "target": F.lit(None).cast("string")})
+    sides = [F.col("g"), F.when(F.col("g") != some, none)][: 1 + bool(loose)]
+    prior = lambda x: F.coalesce(F.col(x) < F.col("r"), F.lit(False)).cast("int")
+    for axis, one in (("name", "EXACT"), ("family", "DOCUMENT_FAMILY_RECOVERED"), ("own", "UNIQUE_CANDIDATE_RECOVERED")):
+        count, only = F.lit(0), []
+        for side in sides:
+            for table in (pairs[axis], lists.get(axis)):
+                if table is None:
+                    continue
+                no = len(only)
+                there = table.select(F.col("h").alias("_h"), *[F.col(x).alias(f"_{x}") for x in ("d", "g", "k", "x")], *[F.col(x).alias(f"_{x}{no}") for x in table.columns[5:]])
+                keys = {"_h": "_ah", "_d": "d", "_g": "_ag", "_k": "k", "_x": axis}
+                met = met.withColumn("_ag", side).withColumn("_ah", F.when(F.col("_ag").isNull() | F.col("d").isNull() | F.col(axis).isNull(), F.xxhash64("src")).otherwise(F.xxhash64("d", "_ag", "k", axis)))
+                met = met.join(there, [F.col(x) == F.col(y) for x, y in keys.items()], "left").drop(*keys, "_ah", "_ag")
+                if table is pairs[axis]:
+                    count, first = count + prior(f"_r{no}") + prior(f"_then{no}"), F.when(prior(f"_r{no}") == 1, F.lpad(F.col(f"_r{no}").cast("string"), 14, "0"))
+                else:
+                    others = F.filter(f"_names{no}", lambda x: x != F.col("receipt"))
+                    count, first = count + F.coalesce(F.size(F.coalesce(others, F.array().cast("array<string>"))), F.lit(0)), F.array_min(others)
+                only.append(first)
+        met = met.withColumn("_n", count).withColumn("target", F.when(F.col("code").isNull() & (F.col("_n") == 1), F.coalesce(*only)).otherwise(F.col("target")))
+        met = met.withColumn("code", F.coalesce("code", F.when(F.col("_n") == 1, one).when(F.col("_n") > 1, "AMBIGUOUS")))
+        met = met.select("src", "d", "g", "k", *[x for x in ("family", "own") if x in met.columns and x != axis], "r", *(["receipt"] if named else []), "code", "target")
+
+    # the first two stages ask whether a prior receipt is there: the least number of a day tells, and the first and last of the rest
+    ends = lambda df: df.agg(F.min("r").alias("r"), *([F.min("first").alias("first"), F.max("last").alias("last")] if named else []))
+    by_group = ends(known.select("d", "g", "r", *([F.when(F.col("r").isNull(), F.col("receipt")).alias(x) for x in ("first", "last")] if named else [])).groupBy("d", "g"))
+    seen = {}
+    for what, side, table in [(f"_in_group{k}", x, by_group.unionByName(ends(by_group.groupBy("d")).withColumn("g", some))) for k, x in enumerate(sides)] + [("_in_day", None, ends(by_group.groupBy("d")))]:
+        there = table.select(F.col("d").alias("_d"), *([F.col("g").alias("_g")] if side is not None else []), *[F.col(x).alias(f"_{x}") for x in table.columns if x not in ("d", "g")])
+        keys = [F.col("d") == F.col("_d")] + ([side == F.col("_g")] if side is not None else [])
+        met = met.join(F.broadcast(there) if days <= FEW_DAYS else there, keys, "left")
+        found = prior("_r") == 1
+        if named:
+            found = found | F.coalesce(F.col("_first") != F.col("receipt"), F.lit(False)) | F.coalesce(F.col("_last") != F.col("receipt"), F.lit(False))
+        met, seen[what] = met.withColumn(what, found).drop("_d", "_g", "_r", "_first", "_last"), F.col(what)
+    in_group = reduce(Column.__or__, [v for k, v in seen.items() if k != "_in_day"])
+    return met.select("src", F.coalesce("code", F.when(~F.col("_in_day"), "DATE_NOT_FOUND").when(~in_group, "GROUP_MISMATCH").otherwise("COMPANY_MISMATCH")).alias("code"), "target")
+
+
+def _asked_ways(rows: DataFrame) -> DataFrame:
+    """Each row for its own group and for *, and for its own company, where it has one, and for *."""
+    for axis in ("g", "k"):
+        rows = rows.withColumn(axis, F.explode(F.array_compact(F.array(axis, F.lit("*")))))
+    return rows
+
+
+#: A bucket's key. Its hash comes first: sorts then seldom compare the texts.
+_BUCKET = ("h", "d", "g", "k", "x")
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """The two rows of each bucket with the smallest numbers; what a task drops is not shuffled."""
+    hashed = rows.select(F.xxhash64("d", "g", "k", "x").alias("h"), "d", "g", "k", "x", "r")
+    return hashed.withColumn("_i", F.row_number().over(Window.partitionBy(*_BUCKET).orderBy("r"))).where("_i <= 2")
+
+
+def _pairs(least: DataFrame) -> DataFrame:
+    """A row for each bucket: its smallest number and the one after it."""
+    return least.withColumn("then", F.lead("r").over(Window.partitionBy(*_BUCKET).orderBy("r"))).where("_i = 1").drop("_i")
+
+
+def _name_lists(rows: DataFrame) -> DataFrame:
+    """A row for each bucket: its three smallest receipts without a number, each at most twice: two others stay when one is the asker's own."""
+    hashed = rows.select(F.xxhash64("d", "g", "k", "x").alias("h"), "d", "g", "k", "x", "receipt")
+    first = hashed.withColumn("_i", F.dense_rank().over(Window.partitionBy(*_BUCKET).orderBy("receipt"))).where("_i <= 3")
+    twice = first.withColumn("_j", F.row_number().over(Window.partitionBy(*_BUCKET, "receipt").orderBy("_i"))).where("_j <= 2")
+    return twice.groupBy(*_BUCKET).agg(F.collect_list("receipt").alias("names"))
 
 
 def stratified_sample(df: DataFrame, group: str, key: Column, total: int, groups: int) -> DataFrame:

@@ -79,6 +79,31 @@ def test_resolution_from_buckets_is_that_of_all_pairs(spark):
     assert sorted(map(tuple, R.resolve_corrections(s, c).collect())) == want and len({x[1] for x in want}) == 8
 
 
+@pytest.mark.parametrize("texts, loose, few", [(False, False, 50_000), (True, False, 0), (False, True, 0), (True, True, 50_000)])
+def test_resolution_with_and_without_odd_receipts_and_groups(spark, monkeypatch, texts, loose, few):
+    monkeypatch.setattr(R, "FEW_DAYS", few)
+    rnd = random.Random(11)
+    one = lambda *x: rnd.choice(x)
+    number = lambda: f"{rnd.randrange(30):014d}"
+    odd = lambda: one(number(), "r1", "r2", "r3", f"{number()}\n", "0" * 15)
+    rest = lambda no_group: (one("g", "h", None) if no_group else one("g", "h"), one("A", "B", None), one("n", "m", None), one("f", "e", None))
+    candidates = [(odd() if texts else number(), f"d{rnd.randrange(25)}", *rest(loose)) for _ in range(200)]
+    sources = [(k, odd(), one(*[f"d{x}" for x in range(27)], None), *rest(True)) for k in range(900)]
+    c = spark.createDataFrame(candidates, "receipt string, submitted string, doc_group string, company string, name string, family string")
+    s = spark.createDataFrame(sources, "src long, receipt string, original_date string, doc_group string, company string, name string, family string")
+    want = [_resolved(x, candidates) for x in sources]
+    assert sorted(map(tuple, R.resolve_corrections(s, c).collect())) == want and len({x[1] for x in want}) == 8
+
+
+def test_resolution_makes_no_rows_of_a_source_and_gathers_none(spark):
+    c = spark.createDataFrame([("00000000000001", "d", "g", "A", "n", "f")], "receipt string, submitted string, doc_group string, company string, name string, family string")
+    s = spark.createDataFrame([(7, "00000000000002", "d", "g", "A", "n", "f")], "src long, receipt string, original_date string, doc_group string, company string, name string, family string")
+    found = R.resolve_corrections(s, c)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "aggregate [src" not in plan and "collect_list" not in plan and "dense_rank" not in plan
+    assert found.collect() == [(7, "EXACT", "00000000000001")]
+
+
 @needs_tables
 def test_every_order_is_a_source_of_a_correction(spark):
     got = sorted(map(tuple, entry.queries()["correction_target_resolution"](spark, SMALL).collect()))
