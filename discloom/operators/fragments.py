@@ -20,8 +20,9 @@ EVIDENCE_ID = r"^evidence:(\d+):src(\d+):s(\d+):e(\d+)$"
 TABLE_ID = r"^rtable:(\d+):src(\d+):s(\d+):t(\d+)$"
 TEXT_ROLES = ("BODY", "NOTE", "REFERENCE_NOTICE")
 ROW_TYPES = ("DATA", "SUBTOTAL", "TOTAL", "UNKNOWN")
-#: Sections of a task that sorts their keys.
-SECTIONS_A_TASK = 100_000
+#: Sections of a task that sorts their keys. To more than PLAIN_TASKS (spark.shuffle.sort.bypassMergeThreshold) Spark deals rows by a writer
+#: that holds them in memory; so tasks stay that many until each would have MOST_SECTIONS.
+SECTIONS_A_TASK, PLAIN_TASKS, MOST_SECTIONS = 100_000, 200, 500_000
 
 EVIDENCE = (
     "section_id string, pos int, evidence_id string, ord int, evidence_type string, table_type string, storage_mode string, text string, text_role string, captions array<string>, heading_path array<string>, "
@@ -71,7 +72,7 @@ def fragment_faults(sections: DataFrame, evidence: DataFrame, records: DataFrame
     at = lambda df: df.select("section_id", "code", F.col("pos").cast("string").alias("at"))
     bad_sections = sections.where(~section_ok).select("section_id", F.lit("section_id").alias("code"), F.lit(None).cast("string").alias("at"))
 
-    tasks = max(int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sections.count() // SECTIONS_A_TASK))
+    tasks = _tasks(sections.count(), int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ids = evidence.select("section_id", "evidence_id", "pos").repartition(tasks, "section_id", "evidence_id")
     again = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("section_id", "evidence_id").orderBy("pos"))).where("_nth > 1").select("section_id", F.lit("duplicate_evidence_id").alias("code"), "pos")
 
@@ -82,6 +83,10 @@ def fragment_faults(sections: DataFrame, evidence: DataFrame, records: DataFrame
     return all_violations([bad_sections, at(violations(evidence, ["section_id", "pos"], rules)), at(again), at(violations(records, ["section_id", "pos"], row_rules)), met])
 
 
+def _tasks(n_sections: int, least: int) -> int:
+    return max(least, min(-(-n_sections // SECTIONS_A_TASK), PLAIN_TASKS), -(-n_sections // MOST_SECTIONS))
+
+
 def _table_faults(rows: DataFrame) -> DataFrame:
     """Faults between the tables of a section (kind 0; n records of a width, place as its id tells) and its records (kind 1; n is the index).
 

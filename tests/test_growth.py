@@ -129,3 +129,7 @@ def test_faults_of_tables_and_records_are_those_told_one_by_one(spark, monkeypat
     for x in sorted(evidence, key=lambda x: x[1]):
         places.setdefault(x[0], []).append(str(x[1]))
     assert again == {(k, at) for k, v in places.items() for at in v[1:]}
+
+
+def test_tasks_of_fragments_follow_the_sections(spark):
+    assert [FR._tasks(n, 12) for n in (0, 9_000_000, 54_000_000, 150_000_000)] == [12, 90, 200, 300]
